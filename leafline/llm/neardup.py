@@ -27,6 +27,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BooleanType
 
 from leafline.session import cut_lineage, shared_table
 
@@ -84,7 +86,11 @@ def _blocks(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("document_id", "block").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
 
 
-_BLOCK_SCHEMA = "document_id string, block int, words long, head array<long>, tail array<long>, shingles array<long>, minima array<int>"
+_BLOCK_SCHEMA = "document_id string, block int, words long, head array<long>, tail array<long>, shingles array<long>, bands array<long>, pivots array<smallint>"
+_SEAM_SCHEMA = "document_id string, words long, shingles array<long>, minima array<int>"
+# A filter of this many bits tells which documents' sets are needed; a full one only lets more through.
+FILTER_BITS = 1 << 26
+FEW = 50_000
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,21 +110,36 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heads.append(h[:2])
             tails.append(h[-2:])
             sets.append(np.unique(_sequence(h[:-2], h[1:-1], h[2:])) if len(h) > 2 else h[:0])
-        sizes = np.array([len(x) for x in sets])
-        flat = np.concatenate(sets)
-        minima = np.full((len(sets), HASHES), np.uint32(0xFFFFFFFF))
-        if len(flat):
-            full = np.flatnonzero(sizes)
-            minima[full] = _minima(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]])[full])
+        bands, pivots = _prints(_set_minima(sets))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("document_id"),
                 batch.column("block"),
                 pa.array(counts, pa.int64()),
                 *(_lists(np.concatenate(x).view(np.int64), np.array([len(y) for y in x]), pa.int64()) for x in (heads, tails, sets)),
-                _lists(minima.ravel().view(np.int32), np.full(len(sets), HASHES), pa.int32()),
+                bands,
+                pivots,
             ],
-            ["document_id", "block", "words", "head", "tail", "shingles", "minima"],
+            ["document_id", "block", "words", "head", "tail", "shingles", "bands", "pivots"],
+        )
+
+
+def _set_minima(sets: list[np.ndarray]) -> np.ndarray:
+    sizes = np.array([len(x) for x in sets])
+    minima = np.full((len(sets), HASHES), np.uint32(0xFFFFFFFF))
+    full = np.flatnonzero(sizes)
+    if len(full):
+        minima[full] = _minima(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])[full])
+    return minima
+
+
+def _block_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in batch.column("shingles").to_numpy(zero_copy_only=False)]
+        minima = _set_minima(sets)
+        kept = ["document_id", "block", "words", "head", "tail"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), _lists(minima.ravel().view(np.int32), np.full(len(sets), HASHES), pa.int32())], [*kept, "minima"]
         )
 
 
@@ -138,29 +159,51 @@ def _joined(frame: pd.DataFrame) -> pd.DataFrame:
     low = np.min(np.stack([np.asarray(x, np.int32).view(np.uint32) for x in frame["minima"]]), axis=0)
     if len(seams):
         low = np.minimum(low, _minima(seams, np.array([0]))[0])
-    one = [frame["document_id"].iloc[0], -1, int(frame["words"].sum()), seams.view(np.int64), low.view(np.int32)]
-    return pd.DataFrame([one], columns=["document_id", "block", "words", "shingles", "minima"])
+    one = [frame["document_id"].iloc[0], int(frame["words"].sum()), seams.view(np.int64), low.view(np.int32)]
+    return pd.DataFrame([one], columns=["document_id", "words", "shingles", "minima"])
+
+
+def _prints(minima: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Band keys, which hold the band's number in their low bits, and pivot tables."""
+    keys = np.zeros((len(minima), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(BAND):
+            keys = _mixed(keys * _MIX + minima[:, k::BAND].astype(np.uint64) + np.uint64(1))
+    keys = (keys << np.uint64(6)) | np.arange(BANDS, dtype=np.uint64)[None, :]
+    bits = (minima & np.uint32(1)).astype(np.float32)
+    pivots = _references().astype(np.float32)
+    far = bits.sum(1)[:, None] + pivots.sum(1)[None, :] - 2 * bits @ pivots.T
+    return (
+        _lists(keys.ravel().view(np.int64), np.full(len(minima), BANDS), pa.int64()),
+        _lists(far.astype(np.int16).ravel(), np.full(len(minima), PIVOTS), pa.int16()),
+    )
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys and pivot tables of minimum-hash fingerprints."""
+def _seam_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = np.asarray(batch.column("minima").flatten()).view(np.uint32).reshape(-1, HASHES)
-        keys = np.zeros((len(rows), BANDS), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(BAND):
-                keys = _mixed(keys * _MIX + rows[:, k::BAND].astype(np.uint64) + np.uint64(1))
-        bits = (rows & np.uint32(1)).astype(np.float32)
-        pivots = _references().astype(np.float32)
-        far = bits.sum(1)[:, None] + pivots.sum(1)[None, :] - 2 * bits @ pivots.T
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("document_id"),
-                _lists(keys.ravel().view(np.int64), np.full(len(rows), BANDS), pa.int64()),
-                _lists(far.astype(np.int16).ravel(), np.full(len(rows), PIVOTS), pa.int16()),
-            ],
-            ["document_id", "bands", "pivots"],
-        )
+        minima = np.asarray(batch.column("minima").flatten()).view(np.uint32).reshape(-1, HASHES)
+        yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("words"), *_prints(minima)], ["document_id", "words", "bands", "pivots"])
+
+
+def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join by document_id with ids that are broadcast only if they are counted to be few."""
+    return df.join(F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids, "document_id", how)
+
+
+def _bloom(ids: DataFrame, column: str):
+    """A filter column for long ids: false only for those that are not in `ids`."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    cells = ids.groupBy(F.floor(bit / 64).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @arrow_udf(BooleanType())
+    def within(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False).astype(np.uint64)
+        return pa.array(((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool))
+
+    return within(bit)
 
 
 def class_pairs(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,50 +212,53 @@ def class_pairs(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, Dat
     Both by documents.doc_id. A class holds the documents with the same set of sequences.
     """
     owners = documents.select(F.col("id").alias("document_id"), "doc_id").where("document_id is not null and doc_id is not null")
-    blocks = shared_table(_blocks(chunks).join(owners, "document_id", "left_semi").mapInArrow(_sketched, _BLOCK_SCHEMA), "blocks")
-    several = blocks.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id")
-    parts = blocks.join(several, "document_id", "left_semi")
-    seams = cut_lineage(
-        parts.select("document_id", "block", "words", "head", "tail", "minima")
-        .groupBy("document_id")
-        .applyInPandas(_joined, "document_id string, block int, words long, shingles array<long>, minima array<int>")
-    )
-    single = blocks.join(several, "document_id", "left_anti").where((F.col("words") >= LEAST_WORDS)).select("document_id", "shingles", "minima")
-    large = seams.where(F.col("words") >= LEAST_WORDS).select("document_id", F.lit(None).cast("array<long>").alias("shingles"), "minima")
-    whole = single.unionByName(large).join(owners, "document_id")
-    key = F.when(F.col("shingles").isNull(), F.struct(F.xxhash64("document_id").alias("x"), F.xxhash64(F.lit(1), "document_id").alias("y"), F.lit(-1).alias("z"))).otherwise(
-        F.struct(F.xxhash64("shingles").alias("x"), F.xxhash64(F.lit(1), "shingles").alias("y"), F.size("shingles").alias("z"))
+    blocks = shared_table(_blocks(chunks).mapInArrow(_sketched, _BLOCK_SCHEMA), "blocks")
+    several = cut_lineage(blocks.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id"))
+    parts = _only(blocks, several, "left_semi")
+    narrow = parts.select("document_id", "block", "words", "head", "tail", "shingles").mapInArrow(
+        _block_minima, "document_id string, block int, words long, head array<long>, tail array<long>, minima array<int>"
     )
-    keyed = whole.select("doc_id", "document_id", key.alias("key"))
-    firsts = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "document_id")).alias("first"))
-    members = cut_lineage(keyed.select("doc_id", "key").join(firsts.select("key", F.col("first.doc_id").alias("rep")), "key").select("doc_id", "rep"))
-    chosen = firsts.select(F.col("first.document_id").alias("document_id"), F.col("first.doc_id").alias("rep"))
+    seams = cut_lineage(narrow.groupBy("document_id").applyInPandas(_joined, _SEAM_SCHEMA)).where(F.col("words") >= LEAST_WORDS)
+    single = _only(blocks, several, "left_anti").where(F.col("words") >= LEAST_WORDS)
+    set_key = [F.xxhash64("shingles").alias("x"), F.xxhash64(F.lit(1), "shingles").alias("y"), F.size("shingles").alias("z")]
+    own_key = [F.xxhash64("document_id").alias("x"), F.xxhash64(F.lit(1), "document_id").alias("y"), F.lit(-1).alias("z")]
+    keyed = single.select("document_id", *set_key).unionAll(seams.select("document_id", *own_key)).join(owners, "document_id")
+    firsts = keyed.groupBy("x", "y", "z").agg(F.min("doc_id").alias("rep"))
+    members = cut_lineage(keyed.join(firsts, ["x", "y", "z"]).select("doc_id", "document_id", "rep"))
+    chosen = members.where("doc_id = rep").select("document_id", "rep")
     prints = cut_lineage(
-        whole.select("document_id", "minima").mapInArrow(_fingerprints, "document_id string, bands array<long>, pivots array<smallint>").join(chosen, "document_id").select("rep", "bands", "pivots")
+        single.select("document_id", "bands", "pivots")
+        .unionAll(seams.select("document_id", "words", "minima").mapInArrow(_seam_prints, "document_id string, words long, bands array<long>, pivots array<smallint>").select("document_id", "bands", "pivots"))
+        .join(chosen, "document_id")
+        .select("rep", "bands", "pivots")
     )
-    bands = prints.select("rep", F.posexplode("bands").alias("band", "key"))
-    # Half the rows of a bucket are never alone in it: single ones leave before the join.
-    met = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
+    bands = prints.select("rep", F.explode("bands").alias("key"))
+    met = bands.alias("x").join(bands.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
     candidates = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     table = prints.select("rep", "pivots")
-    near = (
+    near = cut_lineage(
         candidates.join(table.select(F.col("rep").alias("a"), F.col("pivots").alias("pa")), "a")
         .join(table.select(F.col("rep").alias("b"), F.col("pivots").alias("pb")), "b")
         .where(F.array_max(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y.cast("int")))) <= TOLERANCE)
         .select("a", "b")
     )
-    near = cut_lineage(near)
-    needed = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-    sets = whole.select(F.col("doc_id").alias("rep"), "document_id", "shingles").join(needed, "rep", "left_semi")
+    wanted = chosen.join(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), "rep", "left_semi")
+    wanted = cut_lineage(wanted)
+    sets = single.select("document_id", "shingles").where(_bloom(wanted, "document_id")).join(wanted, "document_id").select("rep", "shingles")
+    large = _only(wanted, several, "left_semi")
     pairs = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    plain = pairs.where("sa is not null and sb is not null").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("share"))
-    # Documents of several blocks: their sets are compared row by row, spread over the cluster.
-    big = pairs.where("sa is null or sb is null").select("a", "b")
-    rest = parts.select("document_id", "shingles").union(seams.select("document_id", "shingles")).join(sets.where("shingles is null").select("document_id", "rep"), "document_id").select("rep", "shingles")
+    plain = pairs.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("share"))
+    if large.isEmpty():
+        return plain.where(F.col("share") >= SHARE), members.select("doc_id", "rep")
+    # Pairs with a document of several blocks: their sets are compared row by row, spread over the cluster.
+    in_large = large.select("rep").withColumn("large", F.lit(True))
+    big = (
+        near.join(in_large.toDF("a", "la"), "a", "left").join(in_large.toDF("b", "lb"), "b", "left").where("la or lb").select("a", "b")
+    )
+    rest = parts.select("document_id", "shingles").unionAll(seams.select("document_id", "shingles")).join(large, "document_id").select("rep", "shingles")
     in_big = big.select(F.col("a").alias("rep")).union(big.select("b")).distinct()
-    rest = rest.unionByName(sets.where("shingles is not null").join(in_big, "rep", "left_semi").select("rep", "shingles"))
-    each = rest.select("rep", F.explode("shingles").alias("s")).distinct()
+    each = rest.unionByName(sets.join(in_big, "rep", "left_semi")).select("rep", F.explode("shingles").alias("s")).distinct()
     sizes = each.groupBy("rep").agg(F.count("*").alias("n"))
     common = (
         big.join(each.select(F.col("rep").alias("a"), "s"), "a").join(each.select(F.col("rep").alias("b"), "s"), ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("both"))
@@ -222,7 +268,7 @@ def class_pairs(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, Dat
         .join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
         .select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("share"))
     )
-    return plain.unionByName(spread).where(F.col("share") >= SHARE), members
+    return plain.unionByName(spread).where(F.col("share") >= SHARE), members.select("doc_id", "rep")
 
 
 def similar_documents(chunks: DataFrame, documents: DataFrame) -> DataFrame:
