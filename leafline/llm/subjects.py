@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from leafline.llm import boilerplate
 from leafline.session import cut_lineage
 
-SAMPLE, BACKGROUND, ROUNDS, VOCABULARY = 4000, 3, 6, 60_000
+SAMPLE, BACKGROUND, ROUNDS, VOCABULARY = 4000, 3, 5, 60_000
 SHARE, PURE, TOP_TERMS = 0.25, 0.6, 40
 OWN, OTHER, COMMON, SMOOTH = 1.0, 0.02, 1.0, 0.02
 
@@ -47,13 +47,23 @@ def terms(text: str) -> list[str]:
     return out
 
 
-def sentences(text: str, frequent: set[str], title: str | None) -> list[str]:
-    """Sentences of a document without the lines whose keys are `frequent` and without title lines and page numbers."""
+def _key_hash(letters: str) -> int:
+    """The hash that the JVM's xxhash64 gives a line's key."""
+    import xxhash
+
+    if not letters.isalpha():
+        letters = "".join(filter(str.isalpha, letters))
+    h = xxhash.xxh64_intdigest(letters, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def sentences(text: str, frequent: set[int], title: str | None) -> list[str]:
+    """Sentences of a document without the lines whose keys' hashes are `frequent` and without title lines and page numbers."""
     named = _NOT_LETTER.sub("", (title or "").lower())
     kept = []
     for line in text.split("\n"):
         letters = _NOT_LETTER.sub("", line.lower())
-        if not letters or letters in frequent or len(letters) > 5 and named and (named.startswith(letters) or letters.startswith(named)) and len(letters) > 0.6 * len(named):
+        if not letters or frequent and len(letters) >= boilerplate.LETTERS and _key_hash(letters) in frequent or len(letters) > 5 and named and (named.startswith(letters) or letters.startswith(named)) and len(letters) > 0.6 * len(named):
             continue
         kept.append(line)
     whole = _BROKEN_WORD.sub("", "\n".join(kept)).replace("\n", " ")
@@ -161,17 +171,15 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     often = boilerplate.frequent_lines(lines, documents).select("source", "key_hash")
     # A source's frequent lines are at most lines of a document / LEAST_SHARE; they travel with its documents.
     hashes = often.groupBy("source").agg(F.collect_set("key_hash").alias("often"))
-    keys = F.transform(F.split("text", "\n"), lambda x: boilerplate.line_key(x))
-    frequent = F.transform(F.filter(keys, lambda x: F.array_contains(F.coalesce("often", F.array().cast("array<bigint>")), F.xxhash64(x))), lambda x: x)
-    work = usable.join(hashes, "source", "left").select("doc_id", "title", "text", F.when(F.col("often").isNotNull(), frequent).alias("frequent"))
+    work = usable.join(hashes, "source", "left").select("doc_id", "title", "text", "often")
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for frame in frames:
             out = []
-            for doc, title, text, frequent in zip(frame["doc_id"], frame["title"], frame["text"], frame["frequent"]):
+            for doc, title, text, often in zip(frame["doc_id"], frame["title"], frame["text"], frame["often"]):
                 found: Counter[int] = Counter()
-                every = sentences(text, set(frequent) if frequent is not None else set(), title)
+                every = sentences(text, set(often.tolist()) if often is not None else set(), title)
                 for s in every:
                     votes = np.zeros(len(names))
                     for t in terms(s):

@@ -24,11 +24,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafline.session import cut_lineage
+from leafline.session import cut_lineage, shared_table
 
 K = 5
-DEGREE, BUILD_BEAM, BEAM, WIDE_BEAM, ALPHA = 20, 32, 16, 160, 1.1
-ROUTES, SHARD, LARGEST = 4, 1500, 20_000
+DEGREE, BUILD_BEAM, BEAM, WIDE_BEAM, ALPHA = 20, 28, 20, 160, 1.1
+ROUTES, SHARD, LARGEST = 2, 3000, 20_000
 MOST_CENTRES, SAMPLE = 4096, 60_000
 BATCH = 1024
 
@@ -149,15 +149,29 @@ def usable_vectors(embeddings: DataFrame) -> DataFrame:
     return v.where(F.col("model").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == F.col("dim")) & finite & F.exists("vector", lambda e: e != 0))
 
 
+FEW = 50_000
+
+
 def _nodes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (node, model, dim, vector), the copies (node, chunk_id) of nodes that have any, and (node, ids): their k + 1 least chunk ids."""
-    hashed = vectors.select("model", "dim", "chunk_id", "vector", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("h2"))
+    """Nodes (node, model, dim, vector), the copies (node, chunk_id) of nodes that have any, and (node, ids): their k + 1 least chunk ids.
+
+    Vectors are shuffled once, for the current row; copies are found by narrow hashes, and what is no node is left out by its id.
+    """
     key = ["model", "dim", "h", "h2"]
-    nodes = cut_lineage(hashed.groupBy(key).agg(F.min("chunk_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
-    members = hashed.select(*key, "chunk_id").join(nodes.where("copies > 1").select(*key, "node"), key).select("node", "chunk_id")
+    hashed = shared_table(vectors.select("model", "dim", "chunk_id", "vector", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("h2")), "vectors")
+    narrow = hashed.select(*key, "chunk_id")
+    twins = cut_lineage(narrow.groupBy(key).agg(F.min("chunk_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    members = narrow.join(_small(twins), key).select("node", "chunk_id")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("chunk_id"))
     least = members.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("node").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
-    return nodes.select("node", "model", "dim", "vector"), members, least
+    rest = cut_lineage(members.where("chunk_id <> node").select("chunk_id"))
+    nodes = hashed.join(_small(rest), "chunk_id", "left_anti")
+    return nodes.select(F.col("chunk_id").alias("node"), "model", "dim", "vector"), members, least
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if counted to be few rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def _unit(lists: pa.Array, dim: int) -> np.ndarray:
