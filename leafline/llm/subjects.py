@@ -148,8 +148,8 @@ def fit_topics(documents: DataFrame, labels: DataFrame, subjects: DataFrame) ->
     meaning = []
     for j in range(k):
         top = np.argsort(-phi[j] * np.log((phi[j] + 1e-12) / (background + 1e-6)))[:TOP_TERMS]
-        score = lift[:, top].mean(1)
-        meaning.append(names[int(score.argmax())] if j < len(names) and score.max() > 2.0 / len(names) else "")
+        score = (lift[:, top] * phi[j, top]).sum(1) / phi[j, top].sum()
+        meaning.append(names[int(score.argmax())] if j < len(names) and score.max() > 0.25 + 0.75 / len(names) else "")
     joint = phi * weight[:, None]
     return number, joint / (joint.sum(0) + 1e-300), meaning
 
