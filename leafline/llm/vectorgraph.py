@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from leafline.session import cut_lineage, shared_table
 
 K = 5
-DEGREE, BUILD_BEAM, BEAM, WIDE_BEAM, ALPHA = 20, 22, 16, 160, 1.1
+DEGREE, BUILD_BEAM, BEAM, WIDE_BEAM, ALPHA = 20, 28, 18, 160, 1.1
 ROUTES, SHARD, LARGEST = 2, 3000, 20_000
 MOST_CENTRES, SAMPLE = 4096, 60_000
-BATCH = 1024
+BATCH, BACK = 1024, 8
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +109,14 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
         own = order[at : at + BATCH]
         found, _ = beam_search(x, graph, x[own], entries(n, len(own)), beam)
         graph[own] = robust_prune(x, own, np.concatenate([found, graph[own]], 1), degree, alpha)
-        # Reverse edges: every target takes up to `degree` of the nodes that chose it and is pruned again.
+        # Reverse edges: every target takes up to BACK of the nodes that chose it and is pruned again.
         source, target = np.repeat(own, degree), graph[own].ravel()
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
         nodes, begin = np.unique(target, return_index=True)
         place = np.arange(len(target)) - np.repeat(begin, np.diff(np.append(begin, len(target))))
-        back = np.full((len(nodes), degree), -1, np.int32)
-        fits = place < degree
+        back = np.full((len(nodes), BACK), -1, np.int32)
+        fits = place < BACK
         back[np.searchsorted(nodes, target[fits]), place[fits]] = source[fits]
         for b in range(0, len(nodes), BATCH):
             some = nodes[b : b + BATCH]
