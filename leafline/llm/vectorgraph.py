@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from leafline.session import cut_lineage, shared_table
 
 K = 5
-DEGREE, BUILD_BEAM, BEAM, WIDE_BEAM, ALPHA = 20, 28, 18, 160, 1.1
+DEGREE, BUILD_BEAM, BEAM, WIDE_BEAM, ALPHA = 20, 28, 18, 80, 1.1
 ROUTES, SHARD, LARGEST = 2, 3000, 20_000
 MOST_CENTRES, SAMPLE = 4096, 60_000
 BATCH, BACK = 1024, 8
