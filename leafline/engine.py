@@ -24,8 +24,8 @@ class Unknown(KeyError):
     """No such row; the service's 404."""
 
 
-# Secrets by their environment variable.
-SECRETS = ("PADDLEOCR_API_TOKEN", "DEEPSEEK_API_KEY", "SILICONFLOW_API_KEY")
+# Secrets by their environment variable.
+SECRETS = ("OCR_API_TOKEN", "LANGUAGE_MODEL_API_KEY", "EMBEDDING_API_KEY")
 
 
 def secret(name: str, path: str | None = None) -> str | None:

@@ -28,7 +28,9 @@ def unit(vector: Column, dim: int, strict: bool = False) -> Column:
     norm = F.sqrt(F.aggregate(cut, F.lit(0.0), lambda a, x: a + x * x))
     short = F.raise_error(F.lit("vector is shorter than asked for")) if strict else F.lit(None)
     checked = F.when(F.size(vector) < dim, short.cast("array<double>")).otherwise(cut)
-    return F.transform(checked, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    # The norm sits beside the vector in a one-element array: within the inner lambda it would be computed for each element.
+    pair = F.array(F.struct(checked.alias("v"), F.when(norm == 0, F.lit(1.0)).otherwise(norm).alias("n")))
+    return F.element_at(F.transform(pair, lambda p: F.transform(p["v"], lambda x: x / p["n"])), 1)
 
 
 def dot(a: Column, b: Column) -> Column:

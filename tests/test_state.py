@@ -152,10 +152,10 @@ def test_citations(spark):
 
 def test_secrets_and_guards(tmp_path, monkeypatch):
     path = str(tmp_path / "c.json")
-    engine.write_secrets(path, {"DEEPSEEK_API_KEY": "file", "X": None})
-    assert engine.secret("DEEPSEEK_API_KEY", path) == "file"
-    monkeypatch.setenv("DEEPSEEK_API_KEY", "env")
-    assert engine.secret("DEEPSEEK_API_KEY", path) == "env"
+    engine.write_secrets(path, {"LANGUAGE_MODEL_API_KEY": "file", "X": None})
+    assert engine.secret("LANGUAGE_MODEL_API_KEY", path) == "file"
+    monkeypatch.setenv("LANGUAGE_MODEL_API_KEY", "env")
+    assert engine.secret("LANGUAGE_MODEL_API_KEY", path) == "env"
     assert engine.within(str(tmp_path / "a"), [str(tmp_path)]) and not engine.within("/etc/passwd", [str(tmp_path)])
 
 
