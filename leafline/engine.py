@@ -120,7 +120,7 @@ class Library:
             raise Unavailable("the vector index is not built")
         found = vectors.search(*self._index, self._query_vector(query), top)
         owners = search.live_documents(self.documents, scope)  # after the top k, so fewer may come out
-        rows = found.join(search.live_chunks(self.chunks).select(F.col("id").alias("chunk_id"), "page", "ordinal", "line", "text"), "chunk_id").join(owners, "document_id")
+        rows = found.join(search.live_chunks(self.chunks).select(F.col("id").alias("chunk_id"), "page", "ordinal", "line", "text"), "chunk_id").dropDuplicates(["chunk_id"]).join(owners, "document_id")
         return rows.withColumn("source", F.format_string("fuzzy %.3f", "match_score"))
 
     def search(self, q: str, scope: str | None = None, mode: str = "basic", limit: int = 50, offset: int = 0) -> dict:
@@ -158,7 +158,7 @@ class Library:
         if T.mode_name(mode) == "fuzzy":
             rows = vectors.exact(self.embeddings, self.model, self.dim, self._query_vector(q), document_id)
             text = search.live_chunks(self.chunks).select(F.col("id").alias("chunk_id"), "page", "ordinal", "line", "text")
-            return search.envelope(rows.join(text, "chunk_id").orderBy(F.desc("match_score"), "chunk_id"), limit, offset)
+            return search.envelope(rows.join(text, "chunk_id").dropDuplicates(["chunk_id"]).orderBy(F.desc("match_score"), "chunk_id"), limit, offset)
         p = search.plan(self.chunks, self.documents, q, mode, None, document_id)
         return self._page(search.hits(p), p.variants, limit, offset, "results")
 

@@ -22,9 +22,12 @@ HIT = ["match_id", "document_id", "page", "ordinal", "line", "text", "source", "
 
 
 def live_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunk rows once each, with what searches need."""
-    rows = chunks.select("id", "document_id", "page", "ordinal", "line", "text", "source").dropDuplicates(["id"])
-    return rows.withColumn("lowered", F.lower("text"))
+    """Chunk rows with what searches need. Rows delivered twice are dropped by `once`, after the filters, so only hits are shuffled."""
+    return chunks.select("id", "document_id", "page", "ordinal", "line", "text", "source").withColumn("lowered", F.lower("text"))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    return rows.dropDuplicates(["id"])
 
 
 def live_documents(documents: DataFrame, scope: str | None = None, document_id: str | None = None) -> DataFrame:
@@ -47,7 +50,8 @@ def bm25(chunks: DataFrame, variants: list[str]) -> Column:
     """Score by the whole corpus's statistics, less is better: one row of counts is read, the rest is arithmetic."""
     phrases = [v.lower() for v in dict.fromkeys(variants)]
     size = F.greatest(F.length("text") - 2, F.lit(0))
-    row = chunks.agg(F.count("*").alias("n_docs"), F.sum(size).alias("total"), *(F.count_if(F.col("lowered").contains(p)).alias(f"hit{i}") for i, p in enumerate(phrases))).first()
+    narrow = once(chunks.select("id", size.alias("size"), *(F.col("lowered").contains(p).alias(f"has{i}") for i, p in enumerate(phrases))))
+    row = narrow.agg(F.count("*").alias("n_docs"), F.sum("size").alias("total"), *(F.count_if(F.col(f"has{i}")).alias(f"hit{i}") for i in range(len(phrases)))).first()
     n, mean = row["n_docs"], max((row["total"] or 0) / max(row["n_docs"], 1), 1e-9)
     score = F.lit(0.0)
     for i, p in enumerate(phrases):
@@ -82,7 +86,7 @@ def plan(chunks: DataFrame, documents: DataFrame, query: str, mode: str = "basic
         ranked = bool(found) and len(found[0]) >= T.TRIGRAM
         test = T.phrase_any(F.col("lowered"), found) if ranked else T.like_any(F.col("text"), found)
         rank = bm25(base, found) if ranked else none
-        hits = base.where(test).withColumn("rank", rank).join(owners, "document_id")
+        hits = once(base.where(test)).withColumn("rank", rank).join(owners, "document_id")
         return Plan(hits, ranked, found, bool(document_id))
     terms = [T.variants(t) for t in T.query_terms(query)]
     flat = list(dict.fromkeys(v for t in terms for v in t))
@@ -92,9 +96,9 @@ def plan(chunks: DataFrame, documents: DataFrame, query: str, mode: str = "basic
         every = functools.reduce(lambda a, b: a & b, [T.like_any(F.col("text"), t) for t in terms])
         long = [t for t in terms if _long(t)]
         if not long:
-            return Plan(base.where(every).withColumn("rank", none).join(owners, "document_id"), False, flat, bool(document_id))
+            return Plan(once(base.where(every)).withColumn("rank", none).join(owners, "document_id"), False, flat, bool(document_id))
         lead = max(long, key=lambda t: max(map(len, t)))  # the first of the longest; it alone ranks
-        hits = base.where(T.phrase_any(F.col("lowered"), lead) & every).withColumn("rank", bm25(base, lead))
+        hits = once(base.where(T.phrase_any(F.col("lowered"), lead) & every)).withColumn("rank", bm25(base, lead))
         return Plan(hits.join(owners, "document_id"), True, flat, bool(document_id))
     # Document mode: one flag a term, or-ed within each document in a single aggregation.
     ranked = all(map(_long, terms))
@@ -105,7 +109,7 @@ def plan(chunks: DataFrame, documents: DataFrame, query: str, mode: str = "basic
     held = whole.where(functools.reduce(lambda a, b: a & b, [F.col(f"t{i}") for i in range(len(tests))])).select("document_id")
     shown = T.phrase_any(F.col("lowered"), flat) if ranked else functools.reduce(lambda a, b: a | b, [T.like_any(F.col("text"), t) for t in terms])
     rank = bm25(base, flat) if ranked else none
-    hits = base.where(shown).withColumn("rank", rank).join(held, "document_id", "left_semi").join(owners, "document_id")
+    hits = once(base.where(shown)).withColumn("rank", rank).join(held, "document_id", "left_semi").join(owners, "document_id")
     return Plan(hits, ranked, flat, bool(document_id))
 
 
@@ -149,7 +153,7 @@ def envelope(df: DataFrame, limit: int, offset: int, key: str = "results") -> di
 
 def text_context(chunks: DataFrame, document_id: str, match_id: int | None = None, radius: int = 8) -> DataFrame:
     """Chunks around a match by ordinal, or the first 300 of the document."""
-    rows = live_chunks(chunks).where(F.col("document_id") == document_id).drop("lowered")
+    rows = once(live_chunks(chunks).where(F.col("document_id") == document_id)).drop("lowered")
     if match_id is None:
         return rows.orderBy("page", "ordinal", "id").limit(300)
     centre = rows.where(F.col("id") == match_id).select(F.col("document_id"), F.col("ordinal").alias("centre"))
@@ -158,4 +162,4 @@ def text_context(chunks: DataFrame, document_id: str, match_id: int | None = Non
 
 
 def page_chunks(chunks: DataFrame, document_id: str, page: int) -> DataFrame:
-    return live_chunks(chunks).drop("lowered").where((F.col("document_id") == document_id) & (F.col("page") == page)).orderBy("ordinal", "id")
+    return once(live_chunks(chunks).drop("lowered").where((F.col("document_id") == document_id) & (F.col("page") == page))).orderBy("ordinal", "id")
