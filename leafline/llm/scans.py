@@ -1,8 +1,9 @@
 """Problem 5: text from scanned pages repaired into continuous paragraphs.
 
 Rows with source `ocr` are gathered by page, a group bounded by what a page holds, together with the first LOOK
-rows of the next page; so a word that goes on overleaf is seen without gathering a document. On a page
+rows of the next page and the page before; so a word that goes on overleaf is seen without gathering a document. On a page
 * margin rows are peeled off from the head and foot: the page's number in any dress, the document's title or a cut or damaged form of it, or both;
+  a row that recurs at the edge of other pages of the document, but for confusable letters and numbers; and a name that no running text would break off at;
 * a row whose last word goes on in the next row of running text is a hyphen row, also if the sign is a look-alike or missing;
 * misread characters are found by a noisy channel: words that are rare in the corpus get the candidates from which known character
   confusions could have made them, and Viterbi search over the line weighs confusion probabilities against word pair likelihoods.
@@ -23,12 +24,14 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafline.session import shared_table
 
 SLOTS, CLEAN, LOOK, PART = 1 << 22, 20, 3, 64
+# Longest row that counts as a recurring margin row.
+EDGE = 120
 # Tables: words and word pairs, each by two hashes, and triples of characters.
 TABLES = 5
 # Log probabilities of one confusion, of a word outside the counts, and the weight of single words beside pairs.
@@ -49,6 +52,8 @@ _TOKEN = re.compile(r"[㐀-鿿]+|[^\W_㐀-鿿]+")
 _HAN = re.compile(r"[㐀-鿿]")
 _TAIL = re.compile(r"([^\W\d_㐀-鿿]+(?:['’\-][^\W\d_㐀-鿿]+)*)([-=–—¬‐‑­]?)\s*$")
 _HEAD = re.compile(r"^\s*([^\W\d_㐀-鿿]+)")
+_NAME = re.compile(r"""[^\s.,;:!?…()\[\]{}«»“”„"]+$""")
+_HAN_NAME = re.compile(r"[㐀-鿿]{2,4}$")
 _END = re.compile(r"""[.!?…。！？:]["'”’»)\]]*\s*$""")
 _NUMBERED = re.compile(r"(?i)\b(?:page|seite|p|s|pag|стр|страница|folio|f)\b\.?|[第页頁]")
 _DIGITS = str.maketrans("lIiOoSsBbgqZz", "1110055869922"[:13])
@@ -317,37 +322,109 @@ def _repair(text: str, lang: Language) -> tuple[str, bool]:
     return "".join([*out, text[at:]]), bad
 
 
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters, the one that stands for each, and longer readings with what they are read for: equal for texts a few confusions apart."""
+    stands: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while stands.get(c, c) != c:
+            c = stands[c]
+        return c
+
+    for a, b in CONFUSIONS:
+        if len(a) == len(b) == 1:
+            stands[find(a.lower())] = find(b.lower())
+    letters = "".join(sorted({c for a, b in CONFUSIONS for c in (a + b).lower()}))
+    fold = str.maketrans({c: find(c) for c in letters})
+    longer = {max(p, key=len).translate(fold): min(p, key=len).translate(fold) for p in CONFUSIONS if len(p[0]) != len(p[1])}
+    return letters, letters.translate(fold), list(longer.items())
+
+
+def _edge_key(text: Column) -> Column:
+    """What recurring margin rows have in common: letters up to confusions, without page numbers."""
+    letters, folded, longer = _folds()
+    key = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}])(?:\p{N}+|[ivxlc]+)(?![\p{L}\p{N}])", "")
+    key = F.translate(F.regexp_replace(key, r"[^\p{L}\p{N}]+", ""), letters, folded)
+    for a, b in longer:
+        key = F.replace(key, F.lit(a), F.lit(b))
+    return key
+
+
+def _repeated(pages: DataFrame) -> DataFrame:
+    """(document_id, page, often): for rows at the edges of each page and the next, at how many pages' same edge they stand if several."""
+    edges = [pages.select("document_id", "page", F.lit(n).alias("side"), F.explode(part).alias("row")) for n, part in enumerate((F.slice("rows", 1, LOOK), F.reverse(F.slice(F.reverse("rows"), 1, LOOK))))]
+    short = edges[0].unionAll(edges[1]).where(F.length("row.text") <= EDGE).select("document_id", "page", "side", F.col("row.id").alias("id"), _edge_key(F.col("row.text")).alias("key"))
+    rows = short.where(F.length("key") >= F.when(F.col("key").rlike("[㐀-鿿]"), 2).otherwise(4))
+    seen = rows.select("document_id", "side", "key", "page").distinct().groupBy("document_id", "side", "key").agg(F.count("*").alias("n")).where("n > 1")
+    found = rows.join(seen, ["document_id", "side", "key"]).select("document_id", F.explode(F.array("page", F.col("page") - 1)).alias("page"), "id", "n")
+    return found.groupBy("document_id", "page").agg(F.collect_set(F.struct("id", "n")).alias("often"))
+
+
 def _pages(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """(document_id, page, number, title, rows, next): rows of each page and the first LOOK of the next page, in order."""
+    """(document_id, page, rows, ahead, behind, often, title): rows of each page and the first LOOK of the pages beside it, in order."""
     number = F.col("page").cast("long")
     page = F.coalesce(number, -2 - F.floor(F.coalesce("ordinal", F.lit(0)) / 64))
     rows = chunks.where((F.col("source") == "ocr") & F.col("text").isNotNull() & F.col("document_id").isNotNull()).select(
         "document_id", page.alias("page"), number.alias("number"), F.coalesce("line", F.lit(0)).alias("line"), "ordinal", "id", "text"
     )
     row = F.struct("line", "ordinal", "id", "number", "text")
-    here = rows.select("document_id", "page", row.alias("row"), F.lit(None).cast(rows.select(row).schema[0].dataType).alias("ahead"))
-    ahead = rows.where(F.col("line") <= LOOK).select("document_id", (F.col("page") - 1).alias("page"), F.lit(None).cast(rows.select(row).schema[0].dataType).alias("row"), row.alias("ahead"))
+    head = rows.where(F.col("line") <= LOOK)
+    parts = {"rows": rows, "ahead": head.withColumn("page", F.col("page") - 1), "behind": head.withColumn("page", F.col("page") + 1)}
+    none = F.lit(None).cast(rows.select(row).schema[0].dataType)
+    sent = [df.select("document_id", "page", *((row if name == other else none).alias(other) for other in parts)) for name, df in parts.items()]
     gathered = (
-        here.unionAll(ahead)
+        sent[0]
+        .unionAll(sent[1])
+        .unionAll(sent[2])
         .groupBy("document_id", "page")
-        .agg(F.array_distinct(F.array_sort(F.collect_list("row"))).alias("rows"), F.array_distinct(F.array_sort(F.collect_list("ahead"))).alias("ahead"))
+        .agg(*(F.array_distinct(F.array_sort(F.collect_list(name))).alias(name) for name in parts))
         .where(F.size("rows") > 0)
     )
+    pages = shared_table(gathered, "pages")
     titles = documents.select(F.col("id").alias("document_id"), "title").where("document_id is not null")
-    return gathered.join(titles, "document_id", "left")
+    return pages.join(_repeated(pages), ["document_id", "page"], "left").join(titles, "document_id", "left")
 
 
-def _peel(rows: list, titles: list[str], head_only: bool = False) -> set[int]:
-    """Places of the margin rows."""
+def _width(text: str) -> int:
+    return len(text) + len(_HAN.findall(text))
+
+
+def is_name(text: str, page: int | None) -> bool:
+    """A bare name, two to four words with capitals or so many Chinese characters, with or without the page's number."""
+    words = [w for w in text.split() if w.strip("-–—|[]().·") and not (page is not None and is_margin(w, page, []))]
+    if len(words) == 1:
+        return bool(_HAN_NAME.match(words[0]))
+    return 2 <= len(words) <= 4 and all(_NAME.match(w) and (w[0].isupper() or w[0] in "l10") for w in words)
+
+
+def _peel(rows: list, titles: list[str], head_only: bool = False, often: dict[int, int] | None = None, width: int = 0, beside: bool = False) -> set[int]:
+    """Places of the margin rows; `often` says of how many pages' edges a row is, `beside` that a title heads a page beside this one."""
+
+    def stands_alone(i: int, step: int) -> bool:
+        text = rows[i]["text"]
+        tail = _TAIL.search(text)
+        if _END.search(text) or tail and tail[2]:
+            return False
+        # Running text is broken off only where the next word, of which little is known at the foot, doesn't fit.
+        after = rows[i + 1]["text"].split(" ")[0] if step > 0 and i + 1 < len(rows) else ""
+        short = _width(text) < 0.75 * width and _width(text) + 1 + (min(_width(after), 12) if after else 12) <= width
+        n = (often or {}).get(rows[i]["id"], 1)
+        return n > 2 or n == 2 and short or (short or beside and step > 0) and is_name(text, rows[i]["number"])
+
     found: set[int] = set()
-    for places in (range(len(rows)), range(len(rows) - 1, -1, -1))[: 1 if head_only else 2]:
+    for step, places in ((1, range(len(rows))), (-1, range(len(rows) - 1, -1, -1)))[: 1 if head_only else 2]:
         for k, i in enumerate(places):
-            if k == 3 or not is_margin(rows[i]["text"], rows[i]["number"], titles):
+            if k == 3 or not (is_margin(rows[i]["text"], rows[i]["number"], titles) or stands_alone(i, step)):
                 break
             found.add(i)
     return found
 
 
+def _titled(rows: list, titles: list[str]) -> bool:
+    """Whether one of the rows at the head of a page is the title."""
+    return any(is_margin(r["text"], r["number"], titles) and not is_margin(r["text"], r["number"], []) for r in rows)
+
+
 def _worked(chunks: DataFrame, documents: DataFrame, text_only: bool) -> DataFrame:
     counts = chunks.sparkSession.sparkContext.broadcast(language_counts(chunks))
 
@@ -355,12 +432,13 @@ def _worked(chunks: DataFrame, documents: DataFrame, text_only: bool) -> DataFra
         lang = Language(counts.value)
         for frame in frames:
             out = []
-            for doc, page, rows, ahead, title in zip(frame["document_id"], frame["page"], frame["rows"], frame["ahead"], frame["title"]):
+            for doc, page, rows, ahead, behind, often, title in zip(*(frame[c] for c in ("document_id", "page", "rows", "ahead", "behind", "often", "title"))):
                 titles = _title_forms(title)
-                rows = list(rows)
-                margins = _peel(rows, titles)
-                overleaf = list(ahead)
-                skipped = _peel(overleaf, titles, True)
+                rows, overleaf = list(rows), list(ahead)
+                often = {r["id"]: r["n"] for r in often} if often is not None else {}
+                width = max(_width(r["text"]) for r in [*rows, *overleaf])
+                margins = _peel(rows, titles, False, often, width, _titled(overleaf, titles) or _titled(list(behind), titles))
+                skipped = _peel(overleaf, titles, True, often, width, _titled(rows[:LOOK], titles))
                 running = [(r["id"], r["text"]) for i, r in enumerate(rows) if i not in margins]
                 following = [r["text"] for i, r in enumerate(overleaf) if i not in skipped][:1]
                 texts = [t for _, t in running] + following

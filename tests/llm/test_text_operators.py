@@ -171,6 +171,21 @@ def test_margin_lines():
         assert not scans.is_margin(line, 99, titles), line
 
 
+def test_running_heads(spark):
+    def full(page):
+        a, b, c = (["fox", "mill", "report", "bench", "letter", "garden", "tower", "river", "copy", "table", "window", "branch", "figure"][(page + k) % 13] for k in (0, 4, 7))
+        return [f"the quick brown {a} jumps over the lazy {b} and", f"was mentioned again in the {b} by the other {c}", f"of the northern {c} that was left in the {a}"]
+
+    heads = {2: "Clécroft Verné", 3: "Annals of Foxes", 4: "C1écroft Vcrné 4", 5: "Annals of Foxes", 6: "Tamford Albwick", 9: "from the old mill", 11: "from the old mill", 13: "from the old mill"}
+    rows = [("s", t, "ocr", p, n) for p, head in heads.items() for n, t in enumerate([head, *full(p)], 1)]
+    # A short page beside a title; a sentence that ends on two pages, and a name at the foot that running text follows.
+    rows += [("s", "Isterton Selanby", "ocr", 14, 1), ("s", "left.", "ocr", 14, 2), ("s", "Annals of Foxes", "ocr", 15, 1), ("s", full(15)[0], "ocr", 15, 2)]
+    rows += [("s", t, "ocr", p, n) for p in (20, 22) for n, t in enumerate(["the archive.", *full(p), "which was left in the tower by Tamford Albwick"], 1)]
+    docs = documents(spark, [(1, "s", None, "Annals of Foxes", None)])
+    got = {r["chunk_id"] for r in scans.scan_defects(chunks(spark, rows), docs).where("defect = 'margin'").collect()}
+    assert got == {i for i, r in enumerate(rows, 1) if r[4] == 1 and r[3] < 20}
+
+
 def test_scans_of_nothing(spark):
     assert scans.scan_defects(chunks(spark, [("d", "text only"), ("d", None)]), documents(spark, [])).count() == 0
 
