@@ -36,6 +36,8 @@ EDGE = 120
 TABLES = 5
 # Log probabilities of one confusion, of a word outside the counts, and the weight of single words beside pairs.
 CONFUSED, UNSEEN, SINGLE = log(2e-3), log(1e-3), 20.0
+# The same of a confusion of Chinese look-alikes, and unscanned occurrences under which a Chinese character is rare.
+HAN_CONFUSED, RARE = log(1e-2), 5
 
 # What scanners confuse (printed, read).
 CONFUSIONS = [
@@ -48,6 +50,14 @@ _BACK: dict[str, list[str]] = {}
 for _a, _b in CONFUSIONS:
     _BACK.setdefault(_b, []).append(_a)
 
+# The same of Chinese characters; and those of equal look in both directions.
+HAN_CONFUSIONS = [tuple(p) for p in "的旳 有肬 是昰 在茬 人入 分兵 更便 记讱 和禾".split()]
+for _a, _b in "人入 已己 已巳 己巳 未末 土士 日曰 大太 大犬 太犬 天夫 天无 千干 干于 木本 木术 王玉 白自 间问 今令 力刀 九丸 贝见 历厉 没设 话活 清请 清情 请情 纪记 休体 末朱 田由 由甲 甲申 目自 史吏 兔免 乌鸟 拔拨 侯候 晴睛 右石 住往 待侍 折拆 析折".split():
+    HAN_CONFUSIONS += [(_a, _b), (_b, _a)]
+_HAN_BACK: dict[str, list[str]] = {}
+for _a, _b in dict.fromkeys(HAN_CONFUSIONS):
+    _HAN_BACK.setdefault(_b, []).append(_a)
+
 _TOKEN = re.compile(r"[㐀-鿿]+|[^\W_㐀-鿿]+")
 _HAN = re.compile(r"[㐀-鿿]")
 _TAIL = re.compile(r"([^\W\d_㐀-鿿]+(?:['’\-][^\W\d_㐀-鿿]+)*)([-=–—¬‐‑­]?)\s*$")
@@ -93,6 +103,7 @@ class Language:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
         self.words = float(max(counts[:SLOTS].sum(dtype=np.int64), 1))
+        self.signs_total = self.count(2, "=") + 1
         self._word: dict[str, tuple[float, float]] = {}
         self._fixes: dict[str, list[tuple[str, float]]] = {}
 
@@ -173,18 +184,62 @@ class Language:
             out.append(c)
         return out[::-1]
 
+    def _sign(self, sign: str) -> float:
+        return max(0.0, self.count(2, "=" + sign) - 1)
+
+    def _beside(self, pair: str) -> float:
+        return max(0.0, self.count(2, "=" + pair) - 1)
+
+    def signs(self, run: str) -> str:
+        """The likeliest printed Chinese characters of a run of read ones: Viterbi over look-alikes and pairs, as for words."""
+        if not any(c in _HAN_BACK for c in run):
+            return run
+        signs = self.signs_total
+
+        def single(sign: str) -> float:
+            return (self._sign(sign) + 0.1) / (signs + 1000)
+
+        best: dict[str, tuple[float, tuple]] = {"": (0.0, ())}
+        for read in run:
+            new = {}
+            for c in (read, *_HAN_BACK.get(read, ())):
+                p = single(c)
+                channel = 0.0 if c == read else HAN_CONFUSED
+                top = None
+                for before, (s, path) in best.items():
+                    # Weights that don't depend on counts, or an unseen neighbour would speak for the rarer sign.
+                    likely = log(0.7 * min(1.0, self._beside(before + c) / max(1.0, self._sign(before))) + 0.3 * p) if before else log(p)
+                    if top is None or s + likely > top[0]:
+                        top = (s + likely, path)
+                new[c] = (top[0] + channel, (top[1], c))  # type: ignore[index]
+            best = new
+        _, path = max(best.values(), key=lambda x: x[0])
+        out: list[str] = []
+        while path:
+            path, c = path
+            out.append(c)
+        return "".join(out[::-1])
+
     def odd_signs(self, run: str) -> list[int]:
-        """Places of Chinese characters that neither neighbour is ever beside in unscanned text."""
+        """Places of rare Chinese characters that neither neighbour is ever beside in unscanned text."""
         if len(run) < 2:
             return []
         joined = [self.count(2, "=" + run[i : i + 2]) >= CLEAN for i in range(len(run) - 1)]
         bad = [i for i in range(len(run)) if not (i and joined[i - 1]) and not (i < len(joined) and joined[i])]
-        return bad if len(bad) <= max(1, len(run) // 6) else []  # else the whole run is no text
+        # A frequent sign stands alone because of a misread neighbour.
+        return [i for i in bad if self._sign(run[i]) < RARE * CLEAN]
+
+    def garbled(self, runs: list[str]) -> bool:
+        """Whether the Chinese of a row, mended, is no text but bytes read wrongly: many of its signs are rare or not joined."""
+        rare = max(CLEAN, 2e-4 * self.signs_total)
+        odd = sum(len({*self.odd_signs(run), *(i for i, c in enumerate(run) if self._sign(c) < rare)}) for run in runs)
+        return odd > max(1, 0.4 * sum(map(len, runs)))
 
 
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     table = np.zeros(TABLES * SLOTS, np.int32)
-    known: dict[str, tuple[int, ...]] = {}
+    known: dict[str, int] = {}
+    every = _cells(2, "=")[0]
     pairs: dict[tuple[str, str], int] = {}
     words: dict[str, int] = {}
 
@@ -204,12 +259,12 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             before = ""
             for w in _TOKEN.findall(text.lower()):
                 if w[0] >= "㐀" and _HAN.match(w):
-                    for i in range(len(w) - 1):
-                        sign = "=" + w[i : i + 2]
+                    for sign in (*w, *map("".join, zip(w, w[1:]))):
                         got = known.get(sign)
                         if got is None:
-                            got = known[sign] = _cells(2, sign)
-                        table[got[0]] += n
+                            got = known[sign] = _cells(2, "=" + sign)[0]
+                        table[got] += n
+                    table[every] += len(w) * n
                     before = ""
                     continue
                 words[w] = words.get(w, 0) + n
@@ -308,7 +363,12 @@ def _repair(text: str, lang: Language) -> tuple[str, bool]:
     """One row with its misread characters corrected, and whether there was any."""
     tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
     words = [(a, b, w) for a, b, w in tokens if not _HAN.match(w)]
-    bad = not _BROKEN.search(text) and any(lang.odd_signs(w) for _, _, w in tokens if _HAN.match(w))
+    bad = False
+    if len(words) < len(tokens) and not _BROKEN.search(text):
+        runs = [(a, w, lang.signs(w)) for a, _, w in tokens if _HAN.match(w)]
+        if not lang.garbled([p for _, _, p in runs]):
+            for a, w, p in runs:
+                bad = bad or p != w or bool(lang.odd_signs(p))
     if not words:
         return text, bad
     read = [w.lower() for _, _, w in words]

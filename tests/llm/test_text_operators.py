@@ -186,6 +186,15 @@ def test_running_heads(spark):
     assert got == {i for i, r in enumerate(rows, 1) if r[4] == 1 and r[3] < 20}
 
 
+def test_chinese_misreadings(spark):
+    plain = ["没有接口就没有缓存", "不是算法，而是代码库", "接口真的在编译器之前", "这份报告在别处还会讲到", "学校的人把算法写成另一个词"]
+    read = ["没肬接口就没肬缓存", "不昰算法,而昰代码库", "接口真旳茬编译器之前", "这份报告在别处还会讲到", "旳入把算法", "没肬变", "蘋阨游腔桶跡眻善爛符掩楹羲"]
+    rows = [("p", t) for t in plain] * 40 + [("s", t, "ocr", 1, n) for n, t in enumerate(read, 1)]
+    docs = documents(spark, [])
+    got = {r["chunk_id"] - 200 for r in scans.scan_defects(chunks(spark, rows), docs).where("defect = 'misread'").collect()}
+    assert got == {1, 2, 3, 5, 6}
+
+
 def test_scans_of_nothing(spark):
     assert scans.scan_defects(chunks(spark, [("d", "text only"), ("d", None)]), documents(spark, [])).count() == 0
 
