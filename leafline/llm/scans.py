@@ -369,6 +369,7 @@ def _repair(text: str, lang: Language) -> tuple[str, bool]:
         if not lang.garbled([p for _, _, p in runs]):
             for a, w, p in runs:
                 bad = bad or p != w or bool(lang.odd_signs(p))
+                text = text[:a] + p + text[a + len(p) :]
     if not words:
         return text, bad
     read = [w.lower() for _, _, w in words]

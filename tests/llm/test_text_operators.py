@@ -193,6 +193,8 @@ def test_chinese_misreadings(spark):
     docs = documents(spark, [])
     got = {r["chunk_id"] - 200 for r in scans.scan_defects(chunks(spark, rows), docs).where("defect = 'misread'").collect()}
     assert got == {1, 2, 3, 5, 6}
+    text = scans.scan_paragraphs(chunks(spark, rows), docs).first()["text"]
+    assert "没有接口就没有缓存" in text and "不是算法,而是代码库" in text and "接口真的在编译器之前" in text and "的人把算法" in text and read[6] in text
 
 
 def test_scans_of_nothing(spark):
