@@ -52,6 +52,7 @@ def queries() -> dict[str, Query]:
         "p9_found": _on(packing.split_documents, "documents"),
         "p9_containers": _on(packing.pack, "documents"),
         "p9_fill": _on(_fill, "documents"),
+        "p9_laid": _on(packing.laid_whole, "documents"),
         "p10_found": _on(subjects.document_subjects, "documents", "subject_labels", "subjects"),
         "p10_composition": _on(subjects.corpus_composition, "documents", "subject_labels", "subjects"),
     }
@@ -70,5 +71,7 @@ def oracle_sql() -> dict[str, str]:
               SELECT l.source, l.k FROM lines l JOIN base b ON b.source = l.source WHERE length(l.k) >= 10
               GROUP BY l.source, l.k, b.n HAVING count(DISTINCT l.document_id) >= 4 AND count(DISTINCT l.document_id) >= 0.05 * b.n)
             SELECT DISTINCT l.id AS chunk_id FROM lines l JOIN often o ON o.source = l.source AND o.k = l.k""",
+        # Every text with a token is laid whole and no container is overfull: an invariant of the packing.
+        "p9_laid": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE length(text) > 0",
         "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

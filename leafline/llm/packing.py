@@ -6,6 +6,9 @@ to the histogram by non-negative least squares and rounded down, and what is lef
 bulk. The plan says, for each size, which ranks of documents of that size go to which containers; every document finds
 its rank in a distributed way (its place in its partition plus the partition's offset), so no group is gathered.
 
+Only the list of patterns is bounded (PATTERNS kept of those that the most plentiful sizes make); whatever the patterns leave is packed by
+the residual rule, so bounds cost room in containers and never a document.
+
 Cases: null or empty text has no tokens and lies in no container; a text of more than `capacity` tokens is cut
 into full pieces and a rest; ties in size are ranked by partition and place; an empty table gives no row.
 """
@@ -17,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
 from leafline.llm.tokenize import BYTE_BPE, FOLDER, encode
-from leafline.session import cut_lineage
+from leafline.session import shared_table
 
 CAPACITY = 2048
 PATTERNS = 256
@@ -141,37 +145,39 @@ def _slots(made: list[tuple[Pattern, int]]) -> dict[int, tuple[np.ndarray, np.nd
     return {s: tuple(np.array(c, np.int64) for c in zip(*rows)) for s, rows in out.items()}  # type: ignore[misc]
 
 
-def sized_pieces(documents: DataFrame, capacity: int = CAPACITY, folder: str = FOLDER, name: str = BYTE_BPE) -> DataFrame:
-    """(doc_id, piece, start_token, n_tokens): each document with tokens, in pieces of at most `capacity`."""
+_PIECES = "doc_id long, piece int, start_token long, n_tokens long, part int, place long"
 
-    @arrow_udf(LongType())
-    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([len(encode(t, folder, name)) for t in texts.to_pylist()], pa.int64())
 
-    sized = documents.select("doc_id", tokens("text").alias("n")).where("n > 0")
-    starts = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(capacity).cast("bigint"))
-    pieces = sized.select("doc_id", "n", F.posexplode(starts).alias("at", "start_token"))
-    return pieces.select(
-        "doc_id", (F.col("at") + 1).alias("piece"), "start_token", F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("start_token")).alias("n_tokens")
-    )
+def sized_pieces(documents: DataFrame, capacity: int = CAPACITY, folder: str = FOLDER, name: str = BYTE_BPE) -> DataFrame:
+    """(doc_id, piece, start_token, n_tokens, part, place): each document with tokens, in pieces of at most `capacity`.
 
+    `place` counts the pieces of one size within the partition `part`. Texts are encoded here and nowhere else: sizes, pieces and
+    places leave one function over Arrow batches, so no filter can be pushed below a second call of the tokenizer.
+    """
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, folder: str = FOLDER, name: str = BYTE_BPE) -> DataFrame:
-    """(container_id, doc_id, piece, start_token, n_tokens)."""
-
-    def placed(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
-        for batch in tables:
-            place = []
-            for n in batch.column("n_tokens").to_pylist():
-                place.append(seen[n])
+        for batch in batches:
+            sizes = np.fromiter((len(encode(t, folder, name)) for t in batch.column("text").to_pylist()), np.int64, len(batch))
+            each = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), each)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+            start = at * capacity
+            held = np.minimum(capacity, sizes[owner] - start)
+            place = np.empty(len(owner), np.int64)
+            for i, n in enumerate(held.tolist()):
+                place[i] = seen[n]
                 seen[n] += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], [*batch.schema.names, "place"])
+            columns = [batch.column("doc_id").take(pa.array(owner)), pa.array((at + 1).astype(np.int32)), pa.array(start), pa.array(held), pa.array(np.full(len(owner), part, np.int32)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start_token", "n_tokens", "part", "place"])
+
+    return documents.select("doc_id", "text").mapInArrow(pieces, _PIECES)
+
 
-    pieces = sized_pieces(documents, capacity, folder, name).withColumn("part", F.spark_partition_id())
-    schema = "doc_id long, piece int, start_token long, n_tokens long, part int, place long"
-    items = cut_lineage(pieces.mapInArrow(placed, schema))  # tokenised once; ranks stay fixed when a task is run again
+def pack(documents: DataFrame, capacity: int = CAPACITY, folder: str = FOLDER, name: str = BYTE_BPE) -> DataFrame:
+    """(container_id, doc_id, piece, start_token, n_tokens)."""
+    items = shared_table(sized_pieces(documents, capacity, folder, name), "pieces")  # ranks stay fixed when a task is run again
     counts = items.groupBy("part", "n_tokens").agg(F.count("*").alias("c"))
     before = Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "n_tokens", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
@@ -194,5 +200,19 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, folder: str = FOLDER, n
 
 
 def split_documents(documents: DataFrame, capacity: int = CAPACITY, folder: str = FOLDER, name: str = BYTE_BPE) -> DataFrame:
-    """(doc_id): documents that exceed a container, those with a second piece."""
-    return pack(documents, capacity, folder, name).where("piece = 2").select("doc_id")
+    """(doc_id): documents that the packing had to lay into several containers, as they exceed one."""
+    laid = pack(documents, capacity, folder, name).groupBy("doc_id").agg(F.min("container_id").alias("low"), F.max("container_id").alias("high"))
+    return laid.where("low < high").select("doc_id")
+
+
+def laid_whole(documents: DataFrame, capacity: int = CAPACITY, folder: str = FOLDER, name: str = BYTE_BPE) -> DataFrame:
+    """(doc_id, whole, fits): whether the pieces of each document follow each other without a gap from its first token, all but the last of them
+    full, and whether none of its containers is overfull."""
+    items = pack(documents, capacity, folder, name)
+    room = items.groupBy("container_id").agg((F.sum("n_tokens") <= capacity).alias("fits"))
+    each = items.join(room, "container_id").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max("piece").alias("last"), F.countDistinct("piece").alias("pieces"), F.bool_and(F.col("start_token") == (F.col("piece") - 1) * capacity).alias("placed"),
+        F.count_if(F.col("n_tokens") < capacity).alias("short"), F.max(F.when(F.col("n_tokens") < capacity, F.col("piece"))).alias("short_one"), F.bool_and("fits").alias("fits"),
+    )
+    full = (F.col("short") == 0) | ((F.col("short") == 1) & (F.col("short_one") == F.col("last")))
+    return each.select("doc_id", (F.col("placed") & full & (F.col("n") == F.col("last")) & (F.col("pieces") == F.col("n"))).alias("whole"), "fits")
