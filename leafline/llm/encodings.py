@@ -1,16 +1,18 @@
 """Problem 7: text decoded with the wrong encoding.
 
 Noisy channel: a damaged stretch is some original text, written in one encoding and read in another. For each word with
-a character beyond ASCII the bytes behind it are rebuilt for every known pair of encodings (bytes that were lost,
-U+FFFD, are wildcards) and decoded again; Viterbi search over the words of a line finds the cheapest path
-through these readings, changes of pair being dear and words judged by how often their character triples occur in the whole corpus.
-Words whose bytes were lost are looked up among the corpus's words by their shape, frequent ones first.
+a character beyond ASCII the bytes behind it are rebuilt for every known pair of encodings. If no byte is lost they are decoded again;
+if some are (U+FFFD), they are a byte lattice whose paths are decoded by beam search under the character model (`lattice`), several candidates a
+pair. Viterbi search over the words of a line finds the cheapest path through all readings and candidates: changes of pair are dear,
+character triples of the whole corpus judge words without loss, and corpus frequencies of words and of pairs of words are added where bytes were lost.
+The same search backwards gives the best path through every other candidate: `restored` is true only if the best text leads by SURE at every word.
+A lost character on which the candidates within SURE disagree stays U+FFFD.
 
-Corpus statistics are two tables of bounded size: counts of triples by two hashes (SLOTS cells each, over all rows) and the VOCABULARY
-most frequent words beyond ASCII, used only to fill in lost characters.
+Corpus statistics: counts of triples by two hashes (SLOTS cells each, over all rows), and the words and pairs of words with a character beyond ASCII
+that make up at least RATE of all (so at most 1 / RATE of each, at any size of the corpus), by 64-bit hashes.
 
 Cases: null text is not damaged; empty text and pure ASCII are never touched; rows delivered twice count once; a damaged row
-that cannot be restored comes out as it is with restored = false; empty tables give no row.
+that cannot be restored comes out as far as it can be, with restored = false; empty tables give no row.
 """
 
 from __future__ import annotations
@@ -25,13 +27,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafline.llm import lattice
+from leafline.llm.lattice import LOST, to_bytes
 from leafline.session import shared_table
 
 SLOTS = 1 << 21
-VOCABULARY = 200_000
+# Least share of a word (or pair of words) that is kept, and least count.
+RATE, LEAST = 1e-6, 2
+# Lead over every other text, in log likelihood, from which a row counts as restored; and weights of word and pair frequencies where bytes were lost.
+# LOST_LEAD is added for each lost character, LOST_WORD for a word of which nothing else is left.
+SURE, LOST_LEAD, LOST_WORD, WORD_WEIGHT, PAIR_WEIGHT = 3.0, 0.75, 6.0, 1.0, 1.0
 # Bytes that happen to be valid UTF-8 are telling by themselves; any bytes are valid in the other encodings.
 ENTER_UTF8, ENTER_OTHER, LEAVE, MARGIN, PLAUSIBLE = 1.0, 4.0, 0.5, 1.0, -1.6
-LOST = "�"
 
 # Encodings (read as, written in) that are confused in practice; in the first six pairs natural words are never valid. `sloppy` is cp1252 with C1 controls kept.
 PAIRS = [
@@ -43,40 +50,18 @@ PAIRS = [
     *((w, "gb18030") for w in ("sloppy", "big5", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "shift_jis")),
     *((w, "big5") for w in ("sloppy", "gb18030")),
     *(("sloppy", t) for t in ("cp437", "cp850", "mac_roman")),
+    *(("utf-8", t) for t in ("cp1252", "cp1251", "koi8_r", "cp866")),
 ]
 
 
 _UTF8 = sum(written == "utf-8" for _, written in PAIRS)  # these come first
 
 
-def _bytes(text: str, encoding: str) -> bytes | None:
-    if encoding != "sloppy":
-        try:
-            return text.encode(encoding)
-        except UnicodeEncodeError:
-            return None
-    out = bytearray()
-    for ch in text:
-        if "\x80" <= ch < "\xa0":
-            out.append(ord(ch))
-        else:
-            try:
-                out += ch.encode("cp1252")
-            except UnicodeEncodeError:
-                return None
-    return bytes(out)
-
-
 def reread(text: str, read: str, written: str) -> str | None:
-    """`text`, which was read as `read`, decoded as `written`; lost characters come out as U+FFFD."""
-    if LOST in text:
-        # Each lost character stands for one or more unknown bytes: a byte that is invalid in any place.
-        parts = [_bytes(p, read) for p in text.split(LOST)]
-        if None in parts or written not in ("utf-8", "gb18030", "big5"):
-            return None
-        out = b"\xff".join(parts).decode(written, "replace")  # type: ignore[arg-type]
-        return out if out.count(LOST) <= 2 * text.count(LOST) else None
-    raw = _bytes(text, read)
+    """`text`, which was read as `read` without loss, decoded as `written`."""
+    if read == "utf-8":
+        return None  # without loss nothing was damaged
+    raw = to_bytes(text, read)
     if raw is None:
         return None
     try:
@@ -112,16 +97,61 @@ def _tokens(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _word(token: str) -> str:
+    """What words are counted by: without marks at the ends, digits as one sign."""
+    return _DIGITS.sub("0", token.strip(_ENDS) or token)
+
+
+def _joint(before: str, after: str) -> str:
+    """What pairs of words are counted by; the end of a sentence between them is kept."""
+    return f"{_word(before)}{'.' if before[-1:] in ('.', '!', '?') else ''} {_word(after)}"
+
+
+def _hash(word: str) -> int:
+    """The JVM's xxhash64 of a string."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+Reading = tuple[int, str, float]
+
+
 class Corpus:
     """What the reader knows of the corpus."""
 
-    def __init__(self, counts: np.ndarray, shapes: dict[str, str]):
-        self.counts, self.shapes = counts, shapes
+    def __init__(self, counts: np.ndarray, hashes: np.ndarray, often: np.ndarray, alphabet: str):
+        self.counts, self.hashes, self.often, self.alphabet = counts, hashes, often, alphabet
         self.total = float(max(counts[0].sum(), 3)) / 3  # a triple is counted whole, without its last and as its last
         # A context rarer than this says little; it grows with the corpus, as repeated damage does.
         self.smooth = max(20.0, 1.5e-5 * self.total)
-        self._known: dict[str, list[tuple[int, str, float]]] = {}
+        self._known: dict[str, list[Reading]] = {}
         self._triples: dict[str, float] = {}
+        self._steps: dict[str, float] = {}
+        self._tries: dict[str, dict] = {}
+
+    def frequency(self, word: str) -> float:
+        """How often a word, or a pair of words with a space between, is in the corpus; 0 if it is rare."""
+        h = _hash(word)
+        i = int(self.hashes.searchsorted(h))
+        return float(self.often[i]) if i < len(self.hashes) and self.hashes[i] == h else 0.0
+
+    def likely(self, three: str) -> float:
+        """Log likelihood of the third of three characters, as `worth` adds it up."""
+        got = self._steps.get(three)
+        if got is None:
+            t = _DIGITS.sub("0", three)
+            got = 0.0 if three.isascii() else self._triples.get(t) or self._triple(t)
+            if len(self._steps) > 1_000_000:
+                self._steps.clear()
+            self._steps[three] = got
+        return got
+
+    def trie(self, written: str) -> dict:
+        if written not in self._tries:
+            self._tries[written] = lattice.trie([*map(chr, range(128)), *self.alphabet], written)
+        return self._tries[written]
 
     def count(self, part: str) -> float:
         a, b = _slots(part)
@@ -143,11 +173,17 @@ class Corpus:
             s += self._triple(t) if got is None else got
         return s - 4.0 * sum(c == LOST or "\x80" <= c < "\xa0" or "" <= c < "豈" for c in text)
 
-    def readings(self, token: str) -> list[tuple[int, str, float]]:
+    def readings(self, token: str) -> list[Reading]:
         """(pair, text, gain over the token as it is) of the possible readings, pair 0 being the token itself."""
         got = self._known.get(token)
-        if got is not None:
-            return got
+        if got is None:
+            got = self._lossy(token) if LOST in token else self._whole(token)
+            if len(self._known) > 200_000:
+                self._known.clear()
+            self._known[token] = got
+        return got
+
+    def _whole(self, token: str) -> list[Reading]:
         base = self.worth(token)
         out = [(0, token, 0.0)]
         seen = {}
@@ -160,18 +196,29 @@ class Corpus:
                 seen[text] = self.worth(text) - base
             gain = seen[text]
             if read in ("sloppy", "latin-1") and written == "utf-8":
-                again = reread(text, read, written)
+                again = reread(text, read, written) if LOST not in text else None
                 if again is not None and again != text and (more := self.worth(again) - base) > gain:
                     text, gain = again, more
             # A reading must be plausible by itself: a rare character alone doesn't make a word damaged.
             if gain > -25 and base + gain > (-9.0 if k <= _UTF8 else -5.0) * max(1, len(triples(text))):
                 # A lone sign that is no letter is weak evidence in encodings where any byte is valid.
                 out.append((k, text, gain if k <= _UTF8 or len(token) > 1 or token.isalpha() else gain / 2))
-        if len(self._known) > 200_000:
-            self._known.clear()
-        self._known[token] = out
         return out
 
+    def _lossy(self, token: str) -> list[Reading]:
+        """Candidates of the byte lattices of a token with lost characters."""
+        base = self.worth(token)
+        out = []
+        for k, (read, written) in enumerate(PAIRS, 1):
+            for text, score in lattice.decode(token, read, written, self.trie(written), self.likely):
+                if score > (-9.0 if k <= _UTF8 else -7.0) * max(1, len(triples(text))):
+                    out.append((k, text, score - base + WORD_WEIGHT * log(1 + self.frequency(_word(text)))))
+        top = max((x[2] for x in out), default=0.0)
+        return [(0, token, 0.0), *(x for x in out if x[2] > top - 15)]
+
+    def _pair(self, before: str, after: str) -> float:
+        return PAIR_WEIGHT * log(1 + self.frequency(_joint(before, after)))
+
     def restore(self, text: str) -> tuple[str, bool, bool]:
         """(text, damaged, restored) of one line."""
         if text.isascii():
@@ -180,40 +227,66 @@ class Corpus:
         spots = [i for i, t in enumerate(tokens) if not t.isascii()]
         if LOST not in text and all(len(self.readings(tokens[i])) == 1 for i in spots):
             return text, False, False
-        # Viterbi: best[state] = (gain, chosen readings so far).
-        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        for i in spots:
-            new: dict[int, tuple[float, tuple]] = {}
-            order = sorted(best.items(), key=lambda x: -x[1][0])
-            for state, reading, gain in self.readings(tokens[i]):
-                top = None
-                for before, (g, path) in order:
-                    cost = 0.0 if before == state else (LEAVE if state == 0 else ENTER_UTF8 if state <= _UTF8 else ENTER_OTHER)
-                    if top is None or g - cost > top[0]:
-                        top = (g - cost, path)
-                new[state] = (top[0] + gain, (top[1], (i, state, reading)))  # type: ignore[index]
-            best = new
-        gain, path = max(best.values(), key=lambda x: x[0])
-        changed = False
-        if gain > MARGIN:
-            while path:
-                path, (i, state, reading) = path
-                if state:
-                    tokens[i], changed = reading, True
-        damaged = changed or LOST in text
+        nodes = [self._beside(tokens, i) for i in spots]
+
+        def passed(j: int, k: int, a: Reading, b: Reading) -> float:
+            """Cost of going from reading a of spot j to reading b of the next spot k."""
+            cost = 0.0 if a[0] == b[0] else -(LEAVE if b[0] == 0 else ENTER_UTF8 if b[0] <= _UTF8 else ENTER_OTHER)
+            if spots[k] == spots[j] + 1 and (LOST in tokens[spots[j]] or LOST in tokens[spots[k]]):
+                cost += self._pair(a[1], b[1])
+            return cost
+
+        # Viterbi forwards and backwards: best[k][n] is the best path up to, or from, reading n of spot k.
+        ahead = [[x[2] - (0.0 if x[0] == 0 else ENTER_UTF8 if x[0] <= _UTF8 else ENTER_OTHER) for x in nodes[0]]]
+        for k in range(1, len(nodes)):
+            ahead.append([max(s + passed(k - 1, k, a, b) for a, s in zip(nodes[k - 1], ahead[-1])) + b[2] for b in nodes[k]])
+        after = [[0.0] * len(nodes[-1])]
+        for k in range(len(nodes) - 1, 0, -1):
+            after.append([max(passed(k - 1, k, a, b) + b[2] + s for b, s in zip(nodes[k], after[-1])) for a in nodes[k - 1]])
+        after.reverse()
+        changed, sure = False, True
+        whole = max(ahead[-1])
+        if whole > MARGIN:
+            n = ahead[-1].index(whole)
+            path = [n]
+            for k in range(len(nodes) - 1, 0, -1):
+                b = nodes[k][path[-1]]
+                scores = [s + passed(k - 1, k, a, b) for a, s in zip(nodes[k - 1], ahead[k - 1])]
+                path.append(scores.index(max(scores)))
+            for k, n in enumerate(reversed(path)):
+                pair, best, _ = nodes[k][n]
+                # Other texts of this word by how far the best path through them falls behind; the more is lost, the more the lead must be.
+                lost = tokens[spots[k]].count(LOST)
+                lead = SURE + LOST_LEAD * lost + (LOST_WORD if lost > 1 and lost == len(tokens[spots[k]].strip(_ENDS)) else 0.0)
+                close = {x[1] for x, a, b in zip(nodes[k], ahead[k], after[k]) if x[1] != best and a + b > whole - lead}
+                sure = sure and not close
+                if pair:
+                    tokens[spots[k]], changed = self._supported(_common(best, close)) if lost else best, True
         out = " ".join(tokens)
-        if LOST in out:
-            out = self._fill(out)
-        return out, damaged, damaged and LOST not in out and (changed or out != text)
+        damaged = changed or LOST in text
+        return out, damaged, changed and sure and LOST not in out
 
-    def _fill(self, text: str) -> str:
-        """Words with lost characters replaced by the most frequent word of their shape."""
-        tokens = _tokens(text)
-        for i, token in enumerate(tokens):
-            core = token.strip(_ENDS)
-            if LOST in core and (word := self.shapes.get(core)):
-                tokens[i] = token.replace(core, word)
-        return " ".join(tokens)
+    def _supported(self, text: str) -> str:
+        """`text` with U+FFFD for what no triple of the corpus speaks for, unless it is a known word."""
+        if self.frequency(_word(text)):
+            return text
+        t = f"  {_DIGITS.sub('0', text)} "
+        return "".join(c if c.isascii() or self.count(t[i + 2]) and all(self.count(t[j : j + 3]) for j in (i, i + 1)) else LOST for i, c in enumerate(text))
+
+    def _beside(self, tokens: list[str], i: int) -> list[Reading]:
+        """Readings of a token, with what its neighbours in ASCII say if it has lost characters."""
+        found = self.readings(tokens[i])
+        if LOST not in tokens[i] or len(found) == 1:
+            return found
+        before = tokens[i - 1] if i and tokens[i - 1].isascii() else None
+        follows = tokens[i + 1] if i + 1 < len(tokens) and tokens[i + 1].isascii() else None
+        return [(k, t, g + ((self._pair(before, t) if before else 0.0) + (self._pair(t, follows) if follows else 0.0) if k else 0.0)) for k, t, g in found]
+
+
+def _common(best: str, others: set[str]) -> str:
+    """`best` with the characters on which others of its length differ as lost ones."""
+    same = [o for o in others if len(o) == len(best) and LOST not in o]
+    return "".join(c if all(o[i] == c for o in same) else LOST for i, c in enumerate(best))
 
 
 # No language has so many letters of the upper half of Latin-1 in a row.
@@ -226,24 +299,60 @@ def _looks_damaged(token: str) -> bool:
     return bool(_BROKEN.search(token)) or any((t := reread(token, *pair)) is not None and not t.isascii() and LOST not in t for pair in PAIRS[:6])
 
 
+_KINDS = "kind byte, slot long, word string, n long"
+_CELL, _WORD_KIND, _PAIR_KIND, _SIGN = range(4)
+_UNSPACED = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
+
+
 def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter[str] = Counter()
     words: Counter[str] = Counter()
+    signs: Counter[str] = Counter()
     tokens: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str]] = Counter()
+    joined: Counter[str] = Counter()
 
     def count() -> None:
+        broken = set()
         for token, n in tokens.items():
-            if not token.isascii() and not _looks_damaged(token):
-                for t in triples(token):
-                    counts[t] += n
-                words[token.strip(_ENDS)] += n
+            if token.isascii():
+                continue
+            if LOST in token or _looks_damaged(token):
+                broken.add(token)
+                continue
+            for t in triples(token):
+                counts[t] += n
+            for c in token:
+                if c > "\x7f":
+                    signs[c] += n
+            if not _UNSPACED.search(token):
+                words[_word(token)] += n
+        for (a, b), n in pairs.items():
+            if a not in broken and b not in broken and not _UNSPACED.search(a + b):
+                joined[_joint(a, b)] += n
         tokens.clear()
+        pairs.clear()
+
+    def rows(kind: int, found: Counter) -> pd.DataFrame:
+        n = len(found)
+        none = kind == _CELL
+        return pd.DataFrame(
+            {"kind": np.full(n, kind, np.int8), "slot": pd.array(list(found) if none else [None] * n, "Int64"), "word": pd.array([None] * n if none else list(found), "string"), "n": pd.array(list(found.values()), "Int64")}
+        )
 
     for frame in frames:
         for text in frame["text"]:
-            tokens.update(_tokens(_DIGITS.sub("0", text)))
-        if len(tokens) > 200_000:
+            line = _tokens(_DIGITS.sub("0", text))
+            tokens.update(line)
+            for ab in zip(line, line[1:]):
+                if not (ab[0].isascii() and ab[1].isascii()):
+                    pairs[ab] += 1
+        if len(tokens) + len(pairs) > 300_000:
             count()
+        for kind, found in ((_WORD_KIND, words), (_PAIR_KIND, joined)):
+            if len(found) > 300_000:
+                yield rows(kind, found)
+                found.clear()
     count()
     slots: Counter[int] = Counter()
     for t, n in counts.items():
@@ -251,31 +360,31 @@ def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = _slots(part)
             slots[a] += n
             slots[SLOTS + b] += n
-    yield pd.DataFrame({"slot": pd.array(list(slots), "Int64"), "word": pd.array([None] * len(slots), "string"), "n": pd.array(list(slots.values()), "Int64")})
-    kept = [(w, n) for w, n in words.items() if not w.isascii()]
-    yield pd.DataFrame({"slot": pd.array([None] * len(kept), "Int64"), "word": pd.array([w for w, _ in kept], "string"), "n": pd.array([n for _, n in kept], "Int64")})
+    for kind, found in ((_CELL, slots), (_WORD_KIND, words), (_PAIR_KIND, joined), (_SIGN, signs)):
+        yield rows(kind, found)
 
 
-def corpus_statistics(chunks: DataFrame) -> Corpus:
-    """Counts over all rows; what reaches the driver is bounded by SLOTS and VOCABULARY."""
+def corpus_statistics(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """What `Corpus` is made of, over all rows; what reaches the driver is bounded by SLOTS, RATE and the number of characters there are."""
     beyond = chunks.select("text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    found = shared_table(beyond.mapInPandas(_statistics, "slot long, word string, n long"), "triples")
-    cells = found.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = shared_table(beyond.mapInPandas(_statistics, _KINDS), "triples")
+    cells = found.where(F.col("kind") == _CELL).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(2 * SLOTS, np.int64)
     counts[cells["slot"].to_numpy()] = cells["n"].to_numpy()
-    counts = counts.reshape(2, SLOTS)
-    words = found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    shapes: dict[str, str] = {}
-    for r in words:
-        if LOST not in r["word"]:  # bytes of other alphabets read as UTF-8 leave one lost character each
-            shapes.setdefault(_BEYOND.sub(LOST, r["word"]), r["word"])
-    return Corpus(counts, shapes)
+    named = found.where(F.col("kind").isin(_WORD_KIND, _PAIR_KIND)).groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    every = {r["kind"]: r["n"] for r in found.where(F.col("kind").isin(_WORD_KIND, _PAIR_KIND)).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    least = {kind: max(LEAST, RATE * every.get(kind, 0)) for kind in (_WORD_KIND, _PAIR_KIND)}
+    kept = named.where(F.col("n") >= F.when(F.col("kind") == _WORD_KIND, least[_WORD_KIND]).otherwise(least[_PAIR_KIND])).select(F.xxhash64("word").alias("h"), "n").toArrow()
+    hashes, often = kept["h"].to_numpy(), kept["n"].to_numpy()
+    order = np.argsort(hashes)
+    signs = found.where(F.col("kind") == _SIGN).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy("word").collect()
+    counts = counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)
+    return counts.reshape(2, SLOTS), hashes[order], often[order], "".join(r["word"] for r in signs)
 
 
 def restored_rows(chunks: DataFrame) -> DataFrame:
     """(chunk_id, text, restored): the damaged rows, with their text as far as it can be restored."""
-    known = corpus_statistics(chunks)
-    shared = chunks.sparkSession.sparkContext.broadcast((known.counts.astype(np.int32 if known.counts.max(initial=0) < 2**31 else np.int64), known.shapes))
+    shared = chunks.sparkSession.sparkContext.broadcast(corpus_statistics(chunks))
 
     def restore(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         corpus = Corpus(*shared.value)
