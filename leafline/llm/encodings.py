@@ -24,6 +24,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,36 +60,46 @@ _UTF8 = sum(written == "utf-8" for _, written in PAIRS)  # these come first
 
 def reread(text: str, read: str, written: str) -> str | None:
     """`text`, which was read as `read` without loss, decoded as `written`."""
-    if read == "utf-8":
-        return None  # without loss nothing was damaged
     raw = to_bytes(text, read)
-    if raw is None:
-        return None
+    return None if raw is None else _decoded(raw, written)
+
+
+def _decoded(raw: bytes, written: str) -> str | None:
     try:
         return raw.decode(written)
     except UnicodeDecodeError:
         # The first or last character may have lost bytes at the border of a line.
-        if written in ("utf-8", "gb18030") and sum(b > 127 for b in raw) > 11:
+        if written in ("utf-8", "gb18030") and len(raw) > 11 and sum(b > 127 for b in raw) > 11:
             out = raw.decode(written, "replace")
             return out if 1 <= out.count(LOST) <= 1 + len(out) // 12 else None
         return None
 
 
+def _by_read(pairs: list[tuple[str, str]]) -> list[tuple[str, list[tuple[int, str]]]]:
+    """The pairs (numbered from 1) by the encoding they were read in: its bytes are made once."""
+    out: dict[str, list[tuple[int, str]]] = {}
+    for k, (read, written) in enumerate(pairs, 1):
+        out.setdefault(read, []).append((k, written))
+    return list(out.items())
+
+
+_READ = _by_read(PAIRS)
+
+
 def triples(text: str) -> list[str]:
     """Triples of characters with one beyond ASCII, digits as one sign, spaces at the borders."""
     t = f"  {text} "
-    return [t[i : i + 3] for i in range(len(t) - 2) if not t[i : i + 3].isascii()]
+    return [x for x in map("".join, zip(t, t[1:], t[2:])) if not x.isascii()]
 
 
 _DIGITS = re.compile(r"\d")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 _ENDS = ".,;:!?()[]{}"
+_STOPS = (".", "!", "?")
 
 
 def _slots(part: str) -> tuple[int, int]:
     """Its cells in the two tables; the smaller count is nearly free of collisions."""
-    import xxhash
-
     h = xxhash.xxh64_intdigest(part)
     return h & (SLOTS - 1), (h >> 32) & (SLOTS - 1)
 
@@ -104,13 +115,11 @@ def _word(token: str) -> str:
 
 def _joint(before: str, after: str) -> str:
     """What pairs of words are counted by; the end of a sentence between them is kept."""
-    return f"{_word(before)}{'.' if before[-1:] in ('.', '!', '?') else ''} {_word(after)}"
+    return f"{_word(before)}{'.' if before[-1:] in _STOPS else ''} {_word(after)}"
 
 
 def _hash(word: str) -> int:
     """The JVM's xxhash64 of a string."""
-    import xxhash
-
     h = xxhash.xxh64_intdigest(word, 42)
     return h - (1 << 64) if h >> 63 else h
 
@@ -122,7 +131,8 @@ class Corpus:
     """What the reader knows of the corpus."""
 
     def __init__(self, counts: np.ndarray, hashes: np.ndarray, often: np.ndarray, alphabet: str):
-        self.counts, self.hashes, self.often, self.alphabet = counts, hashes, often, alphabet
+        self.hashes, self.often, self.alphabet = hashes, often, alphabet
+        self._first, self._second = memoryview(np.ascontiguousarray(counts[0])), memoryview(np.ascontiguousarray(counts[1]))
         self.total = float(max(counts[0].sum(), 3)) / 3  # a triple is counted whole, without its last and as its last
         # A context rarer than this says little; it grows with the corpus, as repeated damage does.
         self.smooth = max(20.0, 1.5e-5 * self.total)
@@ -155,7 +165,8 @@ class Corpus:
 
     def count(self, part: str) -> float:
         a, b = _slots(part)
-        return float(min(self.counts[0][a], self.counts[1][b]))
+        x, y = self._first[a], self._second[b]
+        return x if x < y else y
 
     def _triple(self, t: str) -> float:
         alone = (self.count(t[2]) + 0.1) / self.total
@@ -186,33 +197,41 @@ class Corpus:
     def _whole(self, token: str) -> list[Reading]:
         base = self.worth(token)
         out = [(0, token, 0.0)]
-        seen = {}
         # A word as plausible as any needs no reading, but repeated damage looks plausible too.
-        for k, (read, written) in enumerate(PAIRS if base < PLAUSIBLE * len(triples(token)) or _RUN.search(token) else (), 1):
-            text = reread(token, read, written)
-            if text is None or text == token:
+        if base >= PLAUSIBLE * len(triples(token)) and not _RUN.search(token):
+            return out
+        seen = {}
+        for read, each in _READ:
+            raw = to_bytes(token, read) if read != "utf-8" else None  # what was read as UTF-8 without loss is not damaged
+            if raw is None:
                 continue
-            if text not in seen:
-                seen[text] = self.worth(text) - base
-            gain = seen[text]
-            if read in ("sloppy", "latin-1") and written == "utf-8":
-                again = reread(text, read, written) if LOST not in text else None
-                if again is not None and again != text and (more := self.worth(again) - base) > gain:
-                    text, gain = again, more
-            # A reading must be plausible by itself: a rare character alone doesn't make a word damaged.
-            if gain > -25 and base + gain > (-9.0 if k <= _UTF8 else -5.0) * max(1, len(triples(text))):
-                # A lone sign that is no letter is weak evidence in encodings where any byte is valid.
-                out.append((k, text, gain if k <= _UTF8 or len(token) > 1 or token.isalpha() else gain / 2))
+            for k, written in each:
+                text = _decoded(raw, written)
+                if text is None or text == token:
+                    continue
+                if text not in seen:
+                    seen[text] = self.worth(text) - base
+                gain = seen[text]
+                if read in ("sloppy", "latin-1") and written == "utf-8":
+                    again = reread(text, read, written) if LOST not in text else None
+                    if again is not None and again != text and (more := self.worth(again) - base) > gain:
+                        text, gain = again, more
+                # A reading must be plausible by itself: a rare character alone doesn't make a word damaged.
+                if gain > -25 and base + gain > (-9.0 if k <= _UTF8 else -5.0) * max(1, len(triples(text))):
+                    # A lone sign that is no letter is weak evidence in encodings where any byte is valid.
+                    out.append((k, text, gain if k <= _UTF8 or len(token) > 1 or token.isalpha() else gain / 2))
         return out
 
     def _lossy(self, token: str) -> list[Reading]:
         """Candidates of the byte lattices of a token with lost characters."""
         base = self.worth(token)
         out = []
-        for k, (read, written) in enumerate(PAIRS, 1):
-            for text, score in lattice.decode(token, read, written, self.trie(written), self.likely):
-                if score > (-9.0 if k <= _UTF8 else -7.0) * max(1, len(triples(text))):
-                    out.append((k, text, score - base + WORD_WEIGHT * log(1 + self.frequency(_word(text)))))
+        for read, each in _READ:
+            row = lattice.slots(token, read)
+            for k, written in each if row is not None else ():
+                for text, score in lattice.decode(token, row, read, written, self.trie(written), self.likely):
+                    if score > (-9.0 if k <= _UTF8 else -7.0) * max(1, len(triples(text))):
+                        out.append((k, text, score - base + WORD_WEIGHT * log(1 + self.frequency(_word(text)))))
         top = max((x[2] for x in out), default=0.0)
         return [(0, token, 0.0), *(x for x in out if x[2] > top - 15)]
 
@@ -296,7 +315,21 @@ _BROKEN = re.compile(f"[\x80-\x9f\ue000-\uf8ff{LOST}]")
 
 def _looks_damaged(token: str) -> bool:
     """Damage that shows without statistics; such words stay out of them."""
-    return bool(_BROKEN.search(token)) or any((t := reread(token, *pair)) is not None and not t.isascii() and LOST not in t for pair in PAIRS[:6])
+    if _BROKEN.search(token):
+        return True
+    for read, _ in PAIRS[:6]:
+        raw = to_bytes(token, read)
+        # Two bytes beyond ASCII are the least that UTF-8 writes.
+        if raw is not None and len(raw) > 1 and (t := _utf8(raw)) is not None and not t.isascii():
+            return True
+    return False
+
+
+def _utf8(raw: bytes) -> str | None:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return None
 
 
 _KINDS = "kind byte, slot long, word string, n long"
@@ -313,7 +346,7 @@ def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     joined: Counter[str] = Counter()
 
     def count() -> None:
-        broken = set()
+        broken, named = set(), {}
         for token, n in tokens.items():
             if token.isascii():
                 continue
@@ -325,11 +358,16 @@ def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for c in token:
                 if c > "\x7f":
                     signs[c] += n
-            if not _UNSPACED.search(token):
+            if _UNSPACED.search(token):
+                broken.add(token)  # runs without spaces are no words
+            else:
                 words[_word(token)] += n
         for (a, b), n in pairs.items():
-            if a not in broken and b not in broken and not _UNSPACED.search(a + b):
-                joined[_joint(a, b)] += n
+            if a not in broken and b not in broken:
+                for x in (a, b):
+                    if x not in named:
+                        named[x] = _word(x)
+                joined[f"{named[a]}{'.' if a[-1:] in _STOPS else ''} {named[b]}"] += n
         tokens.clear()
         pairs.clear()
 

@@ -30,6 +30,10 @@ def to_bytes(text: str, encoding: str) -> bytes | None:
             return text.encode(encoding)
         except UnicodeEncodeError:
             return None
+    try:
+        return text.encode("cp1252")
+    except UnicodeEncodeError:
+        pass
     out = bytearray()
     for ch in text:
         if "\x80" <= ch < "\xa0":
@@ -105,11 +109,8 @@ def _moves(row: list[Slot], at: int, root: dict) -> list[tuple[int, str]]:
     return out
 
 
-def decode(text: str, read: str, written: str, root: dict, likely: Callable[[str], float]) -> list[tuple[str, float]]:
-    """The likeliest originals of `text` with their log likelihoods, best first; `likely` judges three characters."""
-    row = slots(text, read)
-    if row is None:
-        return []
+def decode(text: str, row: list[Slot], read: str, written: str, root: dict, likely: Callable[[str], float]) -> list[tuple[str, float]]:
+    """The likeliest originals of `text`, whose slots are `row`, with their log likelihoods, best first; `likely` judges three characters."""
     end = len(row)
     reached: list[list[tuple[float, str]]] = [[] for _ in range(end + 1)]
     reached[0].append((0.0, "  "))
