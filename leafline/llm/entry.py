@@ -58,9 +58,26 @@ def queries() -> dict[str, Query]:
     }
 
 
+# Problem 4 by its definition: every pair of documents with a common sequence, and their exact share.
+_SHARES = r"""
+  c AS (SELECT DISTINCT id, document_id, ordinal, text FROM chunks WHERE text IS NOT NULL),
+  t AS (SELECT d.doc_id, lower(string_agg(c.text, ' ' ORDER BY c.ordinal, c.id)) AS s FROM c JOIN documents d ON d.id = c.document_id GROUP BY d.doc_id),
+  w AS (SELECT doc_id, regexp_extract_all(regexp_replace(s, '([\x{3400}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w FROM t),
+  e AS (SELECT DISTINCT doc_id, hash(w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
+  n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+  m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+  p AS (SELECT a AS doc_id_a, b AS doc_id_b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.6 * (x.n + y.n - k))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Only what SQL expresses without repeating the operator: problems 3 (which rows), 6 and 8 (the round trip)."""
+    """What SQL expresses without repeating the operator: definitions where they are short, else invariants and round trips."""
     return {
+        "p4_found": f"WITH {_SHARES} SELECT doc_id_a, doc_id_b FROM p",
+        "p4_groups": f"""
+            WITH RECURSIVE {_SHARES},
+              l AS (SELECT doc_id_a AS x, doc_id_b AS y FROM p UNION ALL SELECT doc_id_b, doc_id_a FROM p),
+              r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+            SELECT x AS doc_id, min(y) AS group_id, (SELECT count(*) FROM l WHERE l.x = r.x) AS links FROM r GROUP BY x""",
         "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(text) > 600",
         "p6_found": r"""
             WITH lines AS (

@@ -1,16 +1,16 @@
 """Problem 4: documents that share most of their three-word sequences.
 
 1. Chunk texts are gathered in blocks of BLOCK ordinals, so no document, however large, is one group; sequences over
-   block borders are added from the blocks' first and last words.
-2. A document gets the set of its hashed sequences, a minimum-hash fingerprint and its bits (one a hash), and the pivot table:
-   the Hamming distances of the bits to PIVOTS reference fingerprints.
+   block borders are made from the words before a block, looked up by a window over narrow rows.
+2. A document gets the set of its hashed sequences and a fingerprint: the minimum hashes of the set, of which bands are keys and BITS bits each are
+   the bits for Hamming distances. Minima of a document of several blocks are folded by position with a built-in aggregate.
 3. Equal sets are one class from here on; only the smallest id represents it. Representatives meet in buckets of equal
-   fingerprint bands (at the threshold itself 99.9 % meet, well above it all).
-4. Pairs whose pivot tables differ by more than TOLERANCE in any coordinate are discarded unseen; the
-   survivors are verified on their whole sets.
+   fingerprint bands (at the threshold itself 99.99 % meet, well above it all); buckets of more than HOT members are split by salts.
+4. Documents that met somebody get their pivot table: the Hamming distances of their bits to PIVOTS reference fingerprints. Pairs whose
+   tables differ by more than TOLERANCE in any coordinate are discarded unseen; the survivors are verified on their whole sets.
 
-For bits of documents at the threshold a coordinate differs with a standard deviation of sqrt(0.2 * bits);
-TOLERANCE is 4.5 of these. (The triangle bound itself, the radius, would discard nothing at this similarity.)
+For bits of documents at the threshold a coordinate differs with a standard deviation of sqrt(0.2 * bits); TOLERANCE is 5 of
+these. (The triangle bound itself, the radius, would discard nothing at this similarity.)
 
 Cases: null text adds no word; documents below LEAST_WORDS words, or absent from the documents table, take no part; chunk rows delivered
 twice count once; ties in ordinal are ordered by id; empty tables give no row.
@@ -23,9 +23,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
@@ -33,9 +32,11 @@ from pyspark.sql.types import BooleanType
 from leafline.session import cut_lineage, shared_table
 
 SHARE, LEAST_WORDS, BLOCK = 0.6, 20, 4096
-BAND, BANDS, PIVOTS = 4, 48, 64
+BAND, BANDS, BITS, PIVOTS = 4, 64, 4, 1024
 HASHES = BAND * BANDS
-TOLERANCE = int(4.5 * (0.2 * HASHES) ** 0.5)
+TOLERANCE = int(5 * (0.2 * HASHES * BITS) ** 0.5)
+# Members of a bucket from which it is split.
+HOT = 1000
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,7 +50,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 @functools.lru_cache(1)
 def _references() -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 2, (PIVOTS, HASHES), dtype=np.int8)
+    return np.random.default_rng(7).integers(0, 2, (PIVOTS, HASHES * BITS), dtype=np.int8).astype(np.float32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -86,8 +87,7 @@ def _blocks(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("document_id", "block").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
 
 
-_BLOCK_SCHEMA = "document_id string, block int, words long, head array<long>, tail array<long>, shingles array<long>, bands array<long>, pivots array<smallint>"
-_SEAM_SCHEMA = "document_id string, words long, shingles array<long>, minima array<int>"
+_BLOCK_SCHEMA = "document_id string, block int, words long, head array<long>, tail array<long>, shingles array<long>, bands array<long>, bits binary"
 # A filter of this many bits tells which documents' sets are needed; a full one only lets more through.
 FILTER_BITS = 1 << 26
 FEW = 50_000
@@ -110,7 +110,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heads.append(h[:2])
             tails.append(h[-2:])
             sets.append(np.unique(_sequence(h[:-2], h[1:-1], h[2:])) if len(h) > 2 else h[:0])
-        bands, pivots = _prints(_set_minima(sets))
+        bands, bits = _prints(_set_minima(sets))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("document_id"),
@@ -118,9 +118,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(counts, pa.int64()),
                 *(_lists(np.concatenate(x).view(np.int64), np.array([len(y) for y in x]), pa.int64()) for x in (heads, tails, sets)),
                 bands,
-                pivots,
+                bits,
             ],
-            ["document_id", "block", "words", "head", "tail", "shingles", "bands", "pivots"],
+            ["document_id", "block", "words", "head", "tail", "shingles", "bands", "bits"],
         )
 
 
@@ -135,54 +135,93 @@ def _set_minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def _block_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.asarray(x, np.int64).view(np.uint64) for x in batch.column("shingles").to_numpy(zero_copy_only=False)]
-        minima = _set_minima(sets)
-        kept = ["document_id", "block", "words", "head", "tail"]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in kept), _lists(minima.ravel().view(np.int32), np.full(len(sets), HASHES), pa.int32())], [*kept, "minima"]
-        )
+        minima = _set_minima([np.asarray(x, np.int64).view(np.uint64) for x in batch.column("shingles").to_numpy(zero_copy_only=False)])
+        yield _with_minima(batch, ["document_id", "block", "words", "head", "tail"], minima)
+
 
+def _with_minima(batch: pa.RecordBatch, kept: list[str], minima: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+    # As long integers minima are ordered as they are unsigned.
+    columns = [*(batch.column(c) for c in kept), _lists(minima.ravel().astype(np.int64), np.full(len(minima), HASHES), pa.int64()), *more]
+    return pa.RecordBatch.from_arrays(columns, [*kept, "minima", *(["seam"] if more else [])])
 
-def _joined(frame: pd.DataFrame) -> pd.DataFrame:
-    """The sequences over block borders, and the fingerprint, of a document of several blocks."""
-    frame = frame.sort_values("block")
-    carry = np.zeros(0, np.uint64)
-    found: list[np.ndarray] = []
-    for head, tail, words in zip(frame["head"], frame["tail"], frame["words"]):
-        head, tail = np.asarray(head, np.int64).view(np.uint64), np.asarray(tail, np.int64).view(np.uint64)
-        seam = np.concatenate([carry, head])
-        for i in range(max(0, len(seam) - 2)):
-            if i < len(carry) < i + 3:
-                found.append(_sequence(seam[i : i + 1], seam[i + 1 : i + 2], seam[i + 2 : i + 3]))
-        carry = (np.concatenate([carry, tail]) if words < 2 else tail)[-2:]
-    seams = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    low = np.min(np.stack([np.asarray(x, np.int32).view(np.uint32) for x in frame["minima"]]), axis=0)
-    if len(seams):
-        low = np.minimum(low, _minima(seams, np.array([0]))[0])
-    one = [frame["document_id"].iloc[0], int(frame["words"].sum()), seams.view(np.int64), low.view(np.int32)]
-    return pd.DataFrame([one], columns=["document_id", "words", "shingles", "minima"])
+
+def _seamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequences over the border before each block, and the block's minima with theirs; `carry` holds the two words before it."""
+    for batch in batches:
+        seams = []
+        for carry, head in zip(batch.column("carry").to_numpy(zero_copy_only=False), batch.column("head").to_numpy(zero_copy_only=False)):
+            w = np.concatenate([np.asarray(x if x is not None else [], np.int64) for x in (carry, head)]).view(np.uint64)
+            n = 0 if carry is None else len(carry)
+            at = np.array([i for i in range(len(w) - 2) if i < n < i + 3], np.int64)
+            seams.append(np.unique(_sequence(w[at], w[at + 1], w[at + 2])))
+        minima = np.asarray(batch.column("minima").flatten()).reshape(-1, HASHES)
+        minima = np.minimum(minima, _set_minima(seams).astype(np.int64))
+        yield _with_minima(batch, ["document_id", "words"], minima, _lists(np.concatenate(seams).view(np.int64), np.array([len(x) for x in seams]), pa.int64()))
+
+
+def _folded(seamed: DataFrame) -> DataFrame:
+    """(document_id, words, minima): the least of each position over a document's blocks."""
+    least = seamed.select("document_id", F.posexplode("minima").alias("at", "m")).groupBy("document_id", "at").agg(F.min("m").alias("m"))
+    lists = least.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("minima"))
+    return seamed.groupBy("document_id").agg(F.sum("words").alias("words")).join(lists, "document_id")
 
 
 def _prints(minima: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Band keys, which hold the band's number in their low bits, and pivot tables."""
+    """Band keys, which hold the band's number in their low bits, and the bits of the minima, packed."""
     keys = np.zeros((len(minima), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(BAND):
             keys = _mixed(keys * _MIX + minima[:, k::BAND].astype(np.uint64) + np.uint64(1))
     keys = (keys << np.uint64(6)) | np.arange(BANDS, dtype=np.uint64)[None, :]
-    bits = (minima & np.uint32(1)).astype(np.float32)
-    pivots = _references().astype(np.float32)
-    far = bits.sum(1)[:, None] + pivots.sum(1)[None, :] - 2 * bits @ pivots.T
-    return (
-        _lists(keys.ravel().view(np.int64), np.full(len(minima), BANDS), pa.int64()),
-        _lists(far.astype(np.int16).ravel(), np.full(len(minima), PIVOTS), pa.int16()),
-    )
+    bits = np.concatenate([(minima >> np.uint32(k)) & np.uint32(1) for k in range(BITS)], 1).astype(np.uint8)
+    return _lists(keys.ravel().view(np.int64), np.full(len(minima), BANDS), pa.int64()), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+
+
+def _folded_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        minima = np.asarray(batch.column("minima").flatten()).astype(np.uint32).reshape(-1, HASHES)
+        yield pa.RecordBatch.from_arrays([batch.column("document_id"), *_prints(minima)], ["document_id", "bands", "bits"])
 
 
-def _seam_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pivot tables: Hamming distances of the bits to the reference fingerprints, less half the bits, a byte each (cut off only where they are over 127)."""
+    pivots = _references()
     for batch in batches:
-        minima = np.asarray(batch.column("minima").flatten()).view(np.uint32).reshape(-1, HASHES)
-        yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("words"), *_prints(minima)], ["document_id", "words", "bands", "pivots"])
+        packed = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)
+        bits = np.unpackbits(packed, axis=1).astype(np.float32)
+        far = bits.sum(1)[:, None] + pivots.sum(1)[None, :] - 2 * bits @ pivots.T - bits.shape[1] / 2
+        table = np.clip(far, -127, 127).astype(np.int8)
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([x.tobytes() for x in table], pa.binary())], ["rep", "pivots"])
+
+
+@arrow_udf(BooleanType())
+def _within(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Whether no coordinate of two pivot tables differs by more than TOLERANCE."""
+    x, y = (np.frombuffer(b"".join(t.to_pylist()), np.int8).reshape(len(t), -1).astype(np.int16) for t in (a, b))
+    return pa.array(np.abs(x - y).max(1) <= TOLERANCE if len(x) else np.zeros(0, bool))
+
+
+def _meetings(prints: DataFrame) -> DataFrame:
+    """(a, b): representatives with an equal band. Hot buckets are split: one side by a salt, the other repeated for each."""
+    bands = prints.select("rep", F.explode("bands").alias("key"))
+    hot = cut_lineage(bands.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    if hot.isEmpty():
+        one, other, on = bands.alias("x"), bands.alias("y"), F.col("x.key") == F.col("y.key")
+    else:
+        marked = bands.join(hot if hot.limit(FEW + 1).count() > FEW else F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        one = marked.select("rep", "key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("salt")).alias("x")
+        other = marked.select("rep", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).alias("y")
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt"))
+    return one.join(other, on & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that met in a bucket, and those of them that the pivot tables leave, from (rep, bands, bits)."""
+    met = cut_lineage(_meetings(prints))
+    busy = cut_lineage(met.select(F.col("a").alias("rep")).union(met.select("b")).distinct())
+    table = prints.select("rep", "bits").where(_bloom(busy, "rep")).mapInArrow(_tables, "rep long, pivots binary")
+    near = met.join(table.select(F.col("rep").alias("a"), F.col("pivots").alias("pa")), "a").join(table.select(F.col("rep").alias("b"), F.col("pivots").alias("pb")), "b")
+    return met, cut_lineage(near.where(_within("pa", "pb")).select("a", "b"))
 
 
 def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -214,34 +253,31 @@ def class_pairs(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, Dat
     owners = documents.select(F.col("id").alias("document_id"), "doc_id").where("document_id is not null and doc_id is not null")
     blocks = shared_table(_blocks(chunks).mapInArrow(_sketched, _BLOCK_SCHEMA), "blocks")
     several = cut_lineage(blocks.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id"))
-    parts = _only(blocks, several, "left_semi")
+    parts = _only(blocks, several, "left_semi").where("words > 0")
     narrow = parts.select("document_id", "block", "words", "head", "tail", "shingles").mapInArrow(
-        _block_minima, "document_id string, block int, words long, head array<long>, tail array<long>, minima array<int>"
+        _block_minima, "document_id string, block int, words long, head array<long>, tail array<long>, minima array<long>"
     )
-    seams = cut_lineage(narrow.groupBy("document_id").applyInPandas(_joined, _SEAM_SCHEMA)).where(F.col("words") >= LEAST_WORDS)
+    # Every block here has a word, so the two before it hold the two words before it.
+    order = Window.partitionBy("document_id").orderBy("block")
+    empty = F.array().cast("array<long>")
+    carried = F.concat(F.coalesce(F.lag("tail", 2).over(order), empty), F.coalesce(F.lag("tail", 1).over(order), empty))
+    before = narrow.select("document_id", "words", "head", "minima", carried.alias("c")).select("document_id", "words", "head", "minima", F.slice("c", F.greatest(F.size("c") - 1, F.lit(1)), 2).alias("carry"))
+    seamed = shared_table(before.mapInArrow(_seamed, "document_id string, words long, minima array<long>, seam array<long>"), "seams")
+    folded = cut_lineage(_folded(seamed).where(F.col("words") >= LEAST_WORDS))
     single = _only(blocks, several, "left_anti").where(F.col("words") >= LEAST_WORDS)
     set_key = [F.xxhash64("shingles").alias("x"), F.xxhash64(F.lit(1), "shingles").alias("y"), F.size("shingles").alias("z")]
     own_key = [F.xxhash64("document_id").alias("x"), F.xxhash64(F.lit(1), "document_id").alias("y"), F.lit(-1).alias("z")]
-    keyed = single.select("document_id", *set_key).unionAll(seams.select("document_id", *own_key)).join(owners, "document_id")
+    keyed = single.select("document_id", *set_key).unionAll(folded.select("document_id", *own_key)).join(owners, "document_id")
     firsts = keyed.groupBy("x", "y", "z").agg(F.min("doc_id").alias("rep"))
     members = cut_lineage(keyed.join(firsts, ["x", "y", "z"]).select("doc_id", "document_id", "rep"))
     chosen = members.where("doc_id = rep").select("document_id", "rep")
     prints = cut_lineage(
-        single.select("document_id", "bands", "pivots")
-        .unionAll(seams.select("document_id", "words", "minima").mapInArrow(_seam_prints, "document_id string, words long, bands array<long>, pivots array<smallint>").select("document_id", "bands", "pivots"))
+        single.select("document_id", "bands", "bits")
+        .unionAll(folded.select("document_id", "minima").mapInArrow(_folded_prints, "document_id string, bands array<long>, bits binary"))
         .join(chosen, "document_id")
-        .select("rep", "bands", "pivots")
-    )
-    bands = prints.select("rep", F.explode("bands").alias("key"))
-    met = bands.alias("x").join(bands.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
-    candidates = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    table = prints.select("rep", "pivots")
-    near = cut_lineage(
-        candidates.join(table.select(F.col("rep").alias("a"), F.col("pivots").alias("pa")), "a")
-        .join(table.select(F.col("rep").alias("b"), F.col("pivots").alias("pb")), "b")
-        .where(F.array_max(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y.cast("int")))) <= TOLERANCE)
-        .select("a", "b")
+        .select("rep", "bands", "bits")
     )
+    _, near = candidates(prints)
     wanted = chosen.join(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), "rep", "left_semi")
     wanted = cut_lineage(wanted)
     sets = single.select("document_id", "shingles").where(_bloom(wanted, "document_id")).join(wanted, "document_id").select("rep", "shingles")
@@ -256,7 +292,7 @@ def class_pairs(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, Dat
     big = (
         near.join(in_large.toDF("a", "la"), "a", "left").join(in_large.toDF("b", "lb"), "b", "left").where("la or lb").select("a", "b")
     )
-    rest = parts.select("document_id", "shingles").unionAll(seams.select("document_id", "shingles")).join(large, "document_id").select("rep", "shingles")
+    rest = parts.select("document_id", "shingles").unionAll(seamed.select("document_id", F.col("seam").alias("shingles"))).join(large, "document_id").select("rep", "shingles")
     in_big = big.select(F.col("a").alias("rep")).union(big.select("b")).distinct()
     each = rest.unionByName(sets.join(in_big, "rep", "left_semi")).select("rep", F.explode("shingles").alias("s")).distinct()
     sizes = each.groupBy("rep").agg(F.count("*").alias("n"))
