@@ -3,10 +3,15 @@
 The model is fitted by distributed expectation maximisation (one Spark job a round, expected counts summed over partitions) on
 at most SAMPLE labelled documents, a documented bound. Its topics are one for each subject, which documents with that
 label prefer, and BACKGROUND topics open to all; a wrong label costs a document only its preference. A topic stands for the subject with whose labels
-its top terms go together. A sentence is about the subject that holds most of its words' topic mass, beyond what
-the background holds; a document has the subjects of at least a quarter of its sentences.
+its top terms go together.
 
-Sentences are those of documents.text without lines that its source repeats (problem 6) and without title lines and bare page numbers.
+Topic proportions are then inferred for every document, in units of sentences, as the result is asked in them: a sentence draws one subject (or none)
+from the document's proportions theta, and each of its terms comes from the subject's topic with probability MIXED, else from the background.
+Expectation maximisation over the sentences gives theta; the proportion of a subject is the share of sentences that are most
+likely its own under theta, so a garbled sentence without a known term goes with its document. Subjects of at least SHARE are assigned.
+
+Sentences are those of documents.text without lines that its source repeats (problem 6) and without title lines and bare page numbers. A stop after an
+abbreviation ends none: abbreviations are learnt from the sample, as words (or numbers after a word) that hardly ever stand without a stop.
 
 Cases: null, empty or blank text has no row; labels are trimmed and lower-cased, unknown and null labels are left out, a document
 may have several; rows delivered twice count once; without any usable label there is no row.
@@ -27,12 +32,18 @@ from leafline.llm import boilerplate
 from leafline.session import cut_lineage
 
 SAMPLE, BACKGROUND, ROUNDS, VOCABULARY = 4000, 3, 5, 60_000
-SHARE, PURE, TOP_TERMS = 0.25, 0.6, 40
+SHARE, TOP_TERMS = 0.25, 40
+# Share of a sentence's terms that come from its subject, prior sentences of each subject and of none, rounds of inference.
+MIXED, PRIOR, INFERENCE = 0.05, 0.3, 12
+# An abbreviation has a stop in at least this share of its places, and at least so many places; parts of the fit are at most FITS.
+STOPPED, PLACES, FITS = 0.95, 5, 16
 OWN, OTHER, COMMON, SMOOTH = 1.0, 0.02, 1.0, 0.02
 
 _TERM = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]{2,}")
 _BROKEN_WORD = re.compile(r"(?<=[^\W\d_])[-=–¬‐‑­]\n(?=[^\W\d_])")
-_SENTENCE = re.compile(r"""(?<=[.!?])(?<!\bdie \d\.)(?<!\bdie \d\d\.)(?<!\bdie \d\d\d\.)(?<!\binv\.)(?<!\b[Nn]o\.)(?<!\bKat\.)(?<!\bSt\.)["'”’»)\]]*(?:\s*[\[({][^\])}\n]*[\])}]\s*\.?)?\s+(?=[^\sa-zа-я])|(?<=[。！？])[”’」]?|\n(?=\d{1,2}/\d{1,2} )""")
+_SENTENCE = re.compile(r"""(?<=[.!?…])["'”’»)\]]*(?:\s*[\[({][^\])}\n]*[\])}]\s*\.?)?\s+(?=[^\sa-zа-я])|(?<=[。！？])[”’」]?""")
+_BEFORE_STOP = re.compile(r"(?:(\w+)\s+)?(\w+)\.$")
+_PLACE = re.compile(r"(?<![^\s(\[{])(?:([^\W\d_]+)\s+)?(\d+|[^\W\d_]{1,5})(\.?)(?=[\s,;:)\]])")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -57,8 +68,18 @@ def _key_hash(letters: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def sentences(text: str, frequent: set[int], title: str | None) -> list[str]:
-    """Sentences of a document without the lines whose keys' hashes are `frequent` and without title lines and page numbers."""
+def _stop_key(before: str | None, word: str) -> str:
+    """What a stop is judged by: a number by the word before it, other words by themselves."""
+    return f"{(before or '').lower()} 0" if word.isdigit() else word
+
+
+def stops(text: str) -> Counter[tuple[str, bool]]:
+    """How often short words and numbers stand with and without a stop."""
+    return Counter((_stop_key(m[1], m[2]), bool(m[3])) for m in _PLACE.finditer(text))
+
+
+def sentences(text: str, frequent: set[int], title: str | None, short: frozenset[str] = frozenset()) -> list[str]:
+    """Sentences of a document without the lines whose keys' hashes are `frequent` and without title lines and page numbers; a stop after `short` ends none."""
     named = _NOT_LETTER.sub("", (title or "").lower())
     kept = []
     for line in text.split("\n"):
@@ -67,7 +88,14 @@ def sentences(text: str, frequent: set[int], title: str | None) -> list[str]:
             continue
         kept.append(line)
     whole = _BROKEN_WORD.sub("", "\n".join(kept)).replace("\n", " ")
-    return [s for s in _SENTENCE.split(whole) if s and len(_NOT_LETTER.sub("", s)) >= 4]
+    out, begin = [], 0
+    for m in _SENTENCE.finditer(whole):
+        if short and (stop := _BEFORE_STOP.search(whole, max(begin, m.start() - 60), m.start())) and _stop_key(stop[1], stop[2]) in short:
+            continue
+        out.append(whole[begin : m.start()])
+        begin = m.end()
+    out.append(whole[begin:])
+    return [s for s in out if len(_NOT_LETTER.sub("", s)) >= 4]
 
 
 def _labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -80,24 +108,27 @@ def _labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> D
     return documents.select("doc_id", "text").where("text is not null").join(drawn, "doc_id")
 
 
-def fit_topics(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[dict[str, int], np.ndarray, list[str]]:
-    """(term numbers, topics x terms share of each topic in a term, subject of each topic or '')."""
+def fit_topics(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[dict[str, int], np.ndarray, list[str], frozenset[str]]:
+    """(term numbers, topics x terms probability of a term in each topic, subject of each topic or '', abbreviations)."""
     names = sorted({r[0] for r in subjects.select(F.lower(F.trim("subject"))).where("subject is not null").collect()})
-    sample = _labelled(documents, labels, subjects)
+    sample = _labelled(documents, labels, subjects).repartition(FITS)  # bounded, so its rows are few a part and the parts are few
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for text, mine in zip(frame["text"], frame["labels"]):
-                c = Counter(terms(_BROKEN_WORD.sub("", text)))
-                rows.append((list(c), list(c.values()), list(mine)))
-            yield pd.DataFrame(rows, columns=["terms", "counts", "labels"])
-
-    bags = cut_lineage(sample.mapInPandas(counted, "terms array<string>, counts array<int>, labels array<string>"))
+                c, places = Counter(terms(_BROKEN_WORD.sub("", text))), stops(text)
+                rows.append((list(c), list(c.values()), list(mine), [f"{int(on)}{w}" for w, on in places], list(places.values())))
+            yield pd.DataFrame(rows, columns=["terms", "counts", "labels", "places", "often"])
+
+    bags = cut_lineage(sample.mapInPandas(counted, "terms array<string>, counts array<int>, labels array<string>, places array<string>, often array<int>"))
+    place = bags.select(F.explode(F.arrays_zip("places", "often")).alias("x")).select(F.substring("x.places", 2, 100).alias("w"), F.when(F.col("x.places").startswith("1"), F.col("x.often")).otherwise(0).alias("on"), "x.often")
+    mostly = place.groupBy("w").agg(F.sum("on").alias("on"), F.sum("often").alias("n")).where((F.col("n") >= PLACES) & (F.col("on") >= STOPPED * F.col("n")))
+    short = frozenset(r["w"] for r in mostly.select("w").collect())
     found = bags.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "t").limit(VOCABULARY).collect()
     number = {r["t"]: i for i, r in enumerate(found)}
     if not number:
-        return {}, np.zeros((len(names), 0)), names
+        return {}, np.zeros((len(names), 0)), names, short
     k, v = len(names) + BACKGROUND, len(number)
     place = {s: i for i, s in enumerate(names)}
     # How terms go together with labels: it starts the topics and, at the end, tells what their top terms mean.
@@ -143,29 +174,44 @@ def fit_topics(documents: DataFrame, labels: DataFrame, subjects: DataFrame) ->
         for r in each.select("topic", adds.alias("row")).collect():
             sums[r["topic"]] = r["row"]
         phi = (sums + SMOOTH) / (sums + SMOOTH).sum(1, keepdims=True)
-        weight = sums.sum(1) / max(sums.sum(), 1)
     background = phi[len(names) :].mean(0)
     meaning = []
     for j in range(k):
         top = np.argsort(-phi[j] * np.log((phi[j] + 1e-12) / (background + 1e-6)))[:TOP_TERMS]
         score = (lift[:, top] * phi[j, top]).sum(1) / phi[j, top].sum()
         meaning.append(names[int(score.argmax())] if j < len(names) and score.max() > 0.25 + 0.75 / len(names) else "")
-    joint = phi * weight[:, None]
-    return number, joint / (joint.sum(0) + 1e-300), meaning
+    return number, phi, meaning, short
+
+
+def sentence_scores(phi: np.ndarray, meaning: list[str], names: list[str]) -> np.ndarray:
+    """terms x (subjects and none): what each term adds to a sentence's log likelihood over one from the background alone."""
+    background = phi[[j for j, m in enumerate(meaning) if not m]]
+    base = (background.mean(0) if len(background) else phi.mean(0)) + 1.0 / max(1, 50 * phi.shape[1])
+    out = np.zeros((phi.shape[1], len(names) + 1), np.float32)
+    for j, m in enumerate(meaning):
+        if m:
+            out[:, names.index(m)] = np.log(1 - MIXED + MIXED * phi[j] / base)
+    return out
+
+
+def proportions(scores: np.ndarray) -> np.ndarray:
+    """Shares of the sentences (rows) that are most likely each subject's (columns, the last: none), under the inferred proportions."""
+    n, k = scores.shape
+    theta = np.full(k, 1.0 / k)
+    likely = np.exp(scores - scores.max(1, keepdims=True))
+    for _ in range(INFERENCE):
+        share = likely * theta
+        share /= share.sum(1, keepdims=True)
+        theta = (share.sum(0) + PRIOR) / (n + PRIOR * k)
+    return np.bincount((likely * theta).argmax(1), minlength=k) / n
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """(doc_id, subject): the subjects of at least a quarter of the sentences of each text."""
-    number, share, meaning = fit_topics(documents, labels, subjects)
+    number, phi, meaning, short = fit_topics(documents, labels, subjects)
     names = sorted({m for m in meaning if m})
     codes = {r[0].strip().lower(): r[0] for r in subjects.select("subject").where("subject is not null").collect()}
-    power = np.zeros((len(names), len(number)))
-    for j, m in enumerate(meaning):
-        if m:
-            power[names.index(m)] += share[j]
-    best = power.max(0) if len(names) and len(number) else np.zeros(len(number))
-    model = {t: (int(power[:, i].argmax()), float(best[i])) for t, i in number.items() if best[i] >= PURE}
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast((number, sentence_scores(phi, meaning, names), short))
     usable = documents.where("text is not null and doc_id is not null")
     lines = usable.select(F.col("id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).withColumn("id", F.lit(0))
     often = boilerplate.frequent_lines(lines, documents).select("source", "key_hash")
@@ -174,20 +220,21 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     work = usable.join(hashes, "source", "left").select("doc_id", "title", "text", "often")
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        index, worth, stopped = shared.value
         for frame in frames:
             out = []
             for doc, title, text, often in zip(frame["doc_id"], frame["title"], frame["text"], frame["often"]):
-                found: Counter[int] = Counter()
-                every = sentences(text, set(often.tolist()) if often is not None else set(), title)
-                for s in every:
-                    votes = np.zeros(len(names))
-                    for t in terms(s):
-                        if (got := known.get(t)) is not None:
-                            votes[got[0]] += got[1]
-                    if len(votes) and votes.max() > 0:
-                        found[int(votes.argmax())] += 1
-                out += [(doc, codes[names[j]]) for j, n in found.items() if n >= SHARE * len(every)]
+                every = sentences(text, set(often.tolist()) if often is not None else set(), title, stopped)
+                if not every or not names or not index:
+                    continue
+                known = [[index[t] for t in terms(s) if t in index] for s in every]
+                scores = np.zeros((len(every), len(names) + 1))
+                size = np.array([len(x) for x in known])
+                full = np.flatnonzero(size)
+                if len(full):
+                    begin = (np.cumsum(size) - size)[full]
+                    scores[full] = np.add.reduceat(worth[np.fromiter((i for x in known for i in x), np.int64)], begin, axis=0)
+                out += [(doc, codes[names[j]]) for j, part in enumerate(proportions(scores)[:-1]) if part >= SHARE]
             yield pd.DataFrame(out, columns=["doc_id", "subject"])
 
     return work.mapInPandas(assign, "doc_id long, subject string").distinct()

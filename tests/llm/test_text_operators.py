@@ -348,6 +348,16 @@ def test_subjects(spark):
     assert subjects.document_subjects(docs, table.limit(0), known).count() == 0
 
 
+def test_sentences_and_proportions():
+    short = frozenset({"Kat", "die 0"})
+    text = "Es blieb (Kat. 12) liegen. Danach kam die 3. Mappe zurück. Im Jahr 1984. Ende"
+    assert subjects.sentences(text, set(), None, short) == ["Es blieb (Kat. 12) liegen.", "Danach kam die 3. Mappe zurück.", "Im Jahr 1984.", "Ende"]
+    assert subjects.stops("siehe Kat. 12, die 3. Mappe")[("Kat", True)] == 1
+    # Three sentences of the first, one of the second, one without a known term, which goes with the document.
+    scores = np.array([[4.0, 0, 0]] * 3 + [[0, 4.0, 0], [0, 0, 0]])
+    assert subjects.proportions(scores).tolist() == [0.8, 0.2, 0.0]
+
+
 def test_extra_columns_do_not_clash(spark):
     df = chunks(spark, [("d", "a b"), ("d", "a b")]).withColumns({c: F.lit(1) for c in ("form", "k1", "salt", "th", "key", "part", "chunk_id")})
     assert lookalike.lookalike_pairs(df).count() == 1 and split.oversized(df).count() == 0
