@@ -42,7 +42,6 @@ OWN, OTHER, COMMON, SMOOTH = 1.0, 0.02, 1.0, 0.02
 _TERM = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]{2,}")
 _BROKEN_WORD = re.compile(r"(?<=[^\W\d_])[-=–¬‐‑­]\n(?=[^\W\d_])")
 _SENTENCE = re.compile(r"""(?<=[.!?…])["'”’»)\]]*(?:\s*[\[({][^\])}\n]*[\])}]\s*\.?)?\s+(?=[^\sa-zа-я])|(?<=[。！？])[”’」]?""")
-_BEFORE_STOP = re.compile(r"(?:(\w+)\s+)?(\w+)\.$")
 _PLACE = re.compile(r"(?<![^\s(\[{])(?:([^\W\d_]+)\s+)?(\d+|[^\W\d_]{1,5})(\.?)(?=[\s,;:)\]])")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
@@ -73,6 +72,13 @@ def _stop_key(before: str | None, word: str) -> str:
     return f"{(before or '').lower()} 0" if word.isdigit() else word
 
 
+def _stopped_short(before: str, short: frozenset[str]) -> bool:
+    """Whether what stands before a stop ends in an abbreviation."""
+    words = before.rsplit(None, 2)[-2:]
+    last = words[-1].lstrip("([{") if words else ""
+    return _stop_key(words[0] if len(words) > 1 else None, last) in short
+
+
 def stops(text: str) -> Counter[tuple[str, bool]]:
     """How often short words and numbers stand with and without a stop."""
     return Counter((_stop_key(m[1], m[2]), bool(m[3])) for m in _PLACE.finditer(text))
@@ -90,7 +96,7 @@ def sentences(text: str, frequent: set[int], title: str | None, short: frozenset
     whole = _BROKEN_WORD.sub("", "\n".join(kept)).replace("\n", " ")
     out, begin = [], 0
     for m in _SENTENCE.finditer(whole):
-        if short and (stop := _BEFORE_STOP.search(whole, max(begin, m.start() - 60), m.start())) and _stop_key(stop[1], stop[2]) in short:
+        if short and whole[m.start() - 1] == "." and _stopped_short(whole[max(begin, m.start() - 60) : m.start() - 1], short):
             continue
         out.append(whole[begin : m.start()])
         begin = m.end()
@@ -194,16 +200,22 @@ def sentence_scores(phi: np.ndarray, meaning: list[str], names: list[str]) -> np
     return out
 
 
-def proportions(scores: np.ndarray) -> np.ndarray:
-    """Shares of the sentences (rows) that are most likely each subject's (columns, the last: none), under the inferred proportions."""
-    n, k = scores.shape
-    theta = np.full(k, 1.0 / k)
+def proportions(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """documents x (subjects and none): shares of each document's sentences (rows of `scores`, `sizes` of them a document, none without) that are
+    most likely each subject's under the document's inferred proportions. All documents are worked at once."""
+    k = scores.shape[1]
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    # Documents start as half about nothing, and stay so if no term speaks for a subject.
+    theta = np.full((len(sizes), k), 0.5 / max(1, k - 1))
+    theta[:, -1] = 0.5
     likely = np.exp(scores - scores.max(1, keepdims=True))
     for _ in range(INFERENCE):
-        share = likely * theta
+        share = likely * theta[owner]
         share /= share.sum(1, keepdims=True)
-        theta = (share.sum(0) + PRIOR) / (n + PRIOR * k)
-    return np.bincount((likely * theta).argmax(1), minlength=k) / n
+        theta = (np.add.reduceat(share, begin, axis=0) + PRIOR) / (sizes + PRIOR * k)[:, None]
+    top = (likely * theta[owner]).argmax(1)
+    return np.bincount(owner * k + top, minlength=len(sizes) * k).reshape(-1, k) / sizes[:, None]
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -222,19 +234,25 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, worth, stopped = shared.value
         for frame in frames:
-            out = []
+            docs, sizes, found, held = [], [], [], []
             for doc, title, text, often in zip(frame["doc_id"], frame["title"], frame["text"], frame["often"]):
                 every = sentences(text, set(often.tolist()) if often is not None else set(), title, stopped)
-                if not every or not names or not index:
-                    continue
-                known = [[index[t] for t in terms(s) if t in index] for s in every]
-                scores = np.zeros((len(every), len(names) + 1))
-                size = np.array([len(x) for x in known])
-                full = np.flatnonzero(size)
+                if every and names and index:
+                    docs.append(doc)
+                    sizes.append(len(every))
+                    for sentence in every:
+                        ids = [i for i in map(index.get, terms(sentence)) if i is not None]
+                        found += ids
+                        held.append(len(ids))
+            out = []
+            if docs:
+                scores = np.zeros((len(held), len(names) + 1))
+                held = np.array(held)
+                full = np.flatnonzero(held)
                 if len(full):
-                    begin = (np.cumsum(size) - size)[full]
-                    scores[full] = np.add.reduceat(worth[np.fromiter((i for x in known for i in x), np.int64)], begin, axis=0)
-                out += [(doc, codes[names[j]]) for j, part in enumerate(proportions(scores)[:-1]) if part >= SHARE]
+                    scores[full] = np.add.reduceat(worth[np.array(found)], (np.cumsum(held) - held)[full], axis=0)
+                at, subject = np.nonzero(proportions(scores, np.array(sizes))[:, :-1] >= SHARE)
+                out = [(docs[i], codes[names[j]]) for i, j in zip(at.tolist(), subject.tolist())]
             yield pd.DataFrame(out, columns=["doc_id", "subject"])
 
     return work.mapInPandas(assign, "doc_id long, subject string").distinct()

@@ -355,7 +355,7 @@ def test_sentences_and_proportions():
     assert subjects.stops("siehe Kat. 12, die 3. Mappe")[("Kat", True)] == 1
     # Three sentences of the first, one of the second, one without a known term, which goes with the document.
     scores = np.array([[4.0, 0, 0]] * 3 + [[0, 4.0, 0], [0, 0, 0]])
-    assert subjects.proportions(scores).tolist() == [0.8, 0.2, 0.0]
+    assert subjects.proportions(np.concatenate([scores, scores[3:4]]), np.array([5, 1])).tolist() == [[0.8, 0.2, 0.0], [0.0, 1.0, 0.0]]
 
 
 def test_extra_columns_do_not_clash(spark):
