@@ -43,3 +43,23 @@ def query_rect(line: Column, text: Column, query: str) -> Column:
     x0 = line["x0"] + width * at / F.length(t)
     x1 = line["x0"] + width * (at + F.length(q)) / F.length(t)
     return F.when((at >= 0) & (F.length(q) > 0), F.struct(x0.alias("x0"), line["y0"].alias("y0"), F.greatest(x1, x0 + 1.0).alias("x1"), line["y1"].alias("y1")))
+
+
+def page_pixels(width: Column, height: Column, dpi: Column) -> Column:
+    """Pixels of a page of so many points."""
+    return F.ceil((width * dpi / 72) * (height * dpi / 72))
+
+
+def page_dpi(width: Column, height: Column, pages: Column, most: int = 40_000_000, least: int = 96, wanted: int = 220, large: int = 160, many: int = 300) -> Column:
+    """The resolution a page is scanned at: lower in large documents, and as low as `most` pixels ask; null if `least` is too high even so."""
+    asked = F.when(pages >= many, F.lit(min(max(least, wanted), max(least, large)))).otherwise(F.lit(max(least, wanted)))
+    fitting = F.floor(F.sqrt(F.lit(float(most)) / F.greatest(F.lit(1.0), width * height)) * 72)
+    lowered = F.greatest(F.lit(least), F.least(asked, fitting)).cast("int")
+    return F.when(page_pixels(width, height, asked) <= most, asked).when(page_pixels(width, height, lowered) <= most, lowered)
+
+
+def highlight(line: Column, text: Column, query: str, exact: Column, by_text: Column) -> Column:
+    """array of rectangles to mark: the query's part of the stored line, else the line, else where the page has the query, else where it has the line's text."""
+    own = F.when(line.isNotNull(), F.coalesce(query_rect(line, text, query), line))
+    found = F.when(F.size(exact) > 0, exact).when(F.size(by_text) > 0, by_text)
+    return F.when(own.isNotNull(), F.array(own)).otherwise(F.coalesce(found, F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")))

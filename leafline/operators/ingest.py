@@ -86,13 +86,16 @@ def transition(state: DataFrame, snapshot: DataFrame, now: Column, most_bytes: i
     status = F.when(change == "deleted", "deleted").when(change == "oversize", "error").when(moved, "queued").otherwise(F.col("status"))
     columns = {c: F.coalesce("n_" + c, c) for c in CARRIED}
     out = met.withColumn("change", change)
-    rest = [c for c in state.columns if c not in (*CARRIED, "status", "deleted", "created_at", "updated_at", "chunk_count", "text_chars")]
+    # What was found out about the old contents is forgotten with them.
+    fresh = {"error": F.lit(None).cast("string"), "publication_status": F.lit("pending"), "publication_info": F.lit(None).cast("string"), "citation": F.lit(None).cast("string"), "publication_checked_at": F.lit(None).cast("timestamp")}
+    reset = [F.when(F.col("change").isin("new", "changed"), v).otherwise(F.col(c)).alias(c) for c, v in fresh.items() if c in state.columns]
+    rest = [c for c in state.columns if c not in (*CARRIED, *fresh, "status", "deleted", "created_at", "updated_at", "chunk_count", "text_chars")]
     # Counts of a document whose chunks go are zero.
     emptied = F.col("change").isin("deleted", "oversize")
     documents = out.select(
         *(columns[c].alias(c) for c in CARRIED), status.alias("status"), (~seen).alias("deleted"), F.coalesce("created_at", now).alias("created_at"),
         F.when(seen | (F.col("change") == "deleted"), now).otherwise(F.col("updated_at")).alias("updated_at"),
-        *(F.when(emptied, F.lit(0)).otherwise(F.coalesce(c, F.lit(0))).alias(c) for c in ("chunk_count", "text_chars") if c in state.columns), *rest, "change",
+        *(F.when(emptied, F.lit(0)).otherwise(F.coalesce(c, F.lit(0))).alias(c) for c in ("chunk_count", "text_chars") if c in state.columns), *reset, *rest, "change",
     )
     jobs = documents.where(F.col("change").isin("new", "changed")).select(F.col("id").alias("document_id"), F.lit("index").alias("type"), F.lit(100).alias("priority"), F.lit(None).cast("string").alias("message"))
     kinds = F.when(F.col("change") == "deleted", "delete").when(F.col("change") == "oversize", "error").otherwise("change")
@@ -130,3 +133,19 @@ def put_values(meta: DataFrame, values: dict[str, str]) -> DataFrame:
     """A key/value table with some keys set."""
     new = meta.sparkSession.createDataFrame(list(values.items()), "key string, value string")
     return meta.join(new.select("key"), "key", "left_anti").unionByName(new)
+
+
+def rewritten(documents: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+    """Documents with the size and time of (id, size, mtime) files that the engine itself wrote anew, so that no scan takes them for changed."""
+    new = files.select("id", F.col("size").alias("n_size"), F.col("mtime").alias("n_mtime"))
+    hit = F.col("n_size").isNotNull()
+    out = {"size": F.coalesce("n_size", "size"), "mtime": F.coalesce("n_mtime", "mtime"), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    return documents.join(new, "id", "left").withColumns(out).drop("n_size", "n_mtime")
+
+
+def cascade(chunks: DataFrame, embeddings: DataFrame, documents: DataFrame, meta: DataFrame, gone: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """All tables without what belongs to documents that go; their counts are zero and the vector index is marked as behind."""
+    hit = gone.select(F.col("document_id").alias("id"), F.lit(True).alias("gone")).dropDuplicates(["id"])
+    met = documents.join(hit, "id", "left")
+    marked = met.withColumns({"chunk_count": F.when(F.col("gone"), 0).otherwise(F.col("chunk_count")), "updated_at": F.when(F.col("gone"), now).otherwise(F.col("updated_at"))}).drop("gone")
+    return {"chunks": without_documents(chunks, gone), "embeddings": without_documents(embeddings, gone), "documents": marked, "meta": put_values(meta, {"vector_index_dirty": "1"})}

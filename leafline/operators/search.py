@@ -163,3 +163,8 @@ def text_context(chunks: DataFrame, document_id: str, match_id: int | None = Non
 
 def page_chunks(chunks: DataFrame, document_id: str, page: int) -> DataFrame:
     return once(live_chunks(chunks).drop("lowered").where((F.col("document_id") == document_id) & (F.col("page") == page))).orderBy("ordinal", "id")
+
+
+def append_page(shown: DataFrame, page: DataFrame, key: str = "match_id") -> DataFrame:
+    """Rows shown so far and those of a further page that are not among them."""
+    return shown.unionByName(page.join(shown.select(key), key, "left_anti").select(shown.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.operators import jobs as J
@@ -30,7 +30,7 @@ def running_job(jobs: DataFrame, documents: DataFrame) -> DataFrame:
 
 def vectors(documents: DataFrame, jobs: DataFrame, embeddings: DataFrame, model: str, dim: int) -> DataFrame:
     """One row: documents and chunks with text, vectors, complete documents, vector jobs."""
-    have = V.current(embeddings).where((F.col("model") == model) & (F.col("dim") == dim))
+    have = V.current(embeddings, False).where((F.col("model") == model) & (F.col("dim") == dim))
     per = have.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n"))
     live = documents.where(~F.col("deleted"))
     texts = live.where((F.col("text_chars") > 0) & (F.col("chunk_count") > 0)).join(per, "id", "left")
@@ -93,8 +93,15 @@ def record_usage(usage: DataFrame, indexed: DataFrame, added: DataFrame, now: Co
 
 
 def rate_window(events: DataFrame, tokens: Column, seconds: int = 60) -> DataFrame:
-    """Tokens of the last `seconds` at each event, by minute partitions and a look-back, so no window spans the table."""
-    rows = events.select("event_id", "ts", tokens.alias("tokens"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000)).alias("slot"))
-    sides = rows.withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1))).toDF("e2", "t2", "n2", "slot")
-    near = rows.join(sides, "slot").where((F.col("t2") <= F.col("ts")) & (F.col("t2") >= F.col("ts") - F.expr(f"interval {seconds} seconds")))
-    return near.groupBy("event_id").agg(F.sum("n2").alias("window_tokens"))
+    """Tokens of the last `seconds` at each event: each slot of so many seconds is one window over its own rows and those of the slot before,
+    so rows are doubled and no pairs are made."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select("event_id", micros.alias("at"), tokens.alias("tokens"), F.floor(micros / (seconds * 1_000_000)).alias("slot"))
+    both = rows.select("event_id", "at", "tokens", "slot", F.lit(True).alias("own")).unionAll(rows.select("event_id", "at", "tokens", F.col("slot") + 1, F.lit(False)))
+    span = Window.partitionBy("slot").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
+    return both.select("event_id", "own", F.sum("tokens").over(span).alias("window_tokens")).where("own").select("event_id", "window_tokens")
+
+
+def progress(page: Column, total: Column, start: float = 0.05, span: float = 0.87, most: float = 0.97) -> Column:
+    """How far a job is at a page of so many."""
+    return F.when(page <= 0, F.lit(start)).otherwise(F.least(F.lit(start) + span * (page / F.greatest(total, F.lit(1))), F.lit(most)))

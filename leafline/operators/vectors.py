@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafline.operators.remote import class_of, halved
+
 LEVELS = 15
 
 
-def current(embeddings: DataFrame) -> DataFrame:
-    """The latest vector of each chunk."""
-    names = ["document_id", "dim", "model", "vector"]
+def current(embeddings: DataFrame, vector: bool = True) -> DataFrame:
+    """The latest row of each chunk. Without `vector` only narrow columns are read and shuffled."""
+    names = ["document_id", "dim", "model", *(["vector"] if vector else [])]
     return embeddings.groupBy("chunk_id").agg(F.max_by(F.struct(*names), "updated_at").alias("v")).select("chunk_id", *(f"v.{n}" for n in names))
 
 
@@ -98,13 +100,13 @@ def fuzzy_groups(found: DataFrame) -> DataFrame:
 
 def missing(chunks: DataFrame, embeddings: DataFrame, model: str, dim: int) -> DataFrame:
     """Chunks without a vector of this model and dim."""
-    have = current(embeddings).where((F.col("model") == model) & (F.col("dim") == dim)).select(F.col("chunk_id").alias("id"))
+    have = current(embeddings, False).where((F.col("model") == model) & (F.col("dim") == dim)).select(F.col("chunk_id").alias("id"))
     return chunks.dropDuplicates(["id"]).join(have, "id", "left_anti")
 
 
 def eligible(documents: DataFrame, embeddings: DataFrame, model: str, dim: int, force: bool = False) -> DataFrame:
     """Documents with text whose vectors are not complete (all of them if forced)."""
-    have = current(embeddings).where((F.col("model") == model) & (F.col("dim") == dim)).groupBy("document_id").agg(F.count("*").alias("embedded"))
+    have = current(embeddings, False).where((F.col("model") == model) & (F.col("dim") == dim)).groupBy("document_id").agg(F.count("*").alias("embedded"))
     live = documents.where(~F.col("deleted") & (F.col("text_chars") > 0) & (F.col("chunk_count") > 0))
     counted = live.join(have, live["id"] == have["document_id"], "left").withColumn("embedded", F.coalesce("embedded", F.lit(0)))
     return (counted if force else counted.where(F.col("embedded") < F.col("chunk_count"))).select("id", "chunk_count", "embedded")
@@ -140,24 +142,47 @@ def batches(chunks: DataFrame, most_items: int = 0, most_tokens: int = 30_000, b
     return gathered.mapInPandas(pack, "document_id string, part int, id long, ordinal int, batch int")
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model: str, dim: int) -> DataFrame:
-    """(chunk_id, document_id, dim, model, vector) by a pluggable embedder; a batch that fails is halved."""
+def embedded_or_errors(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model: str, dim: int) -> DataFrame:
+    """(chunk_id, document_id, dim, model, vector, error, kind) by a pluggable embedder, in Arrow batches.
 
-    def call(texts: list[str]) -> list[list[float]]:
-        try:
-            return embedder(texts)
-        except Exception:
-            if len(texts) < 2:
-                raise
-            half = len(texts) // 2
-            return call(texts[:half]) + call(texts[half:])
+    Errors that pass are waited out, lack of memory or time halves the request; what fails even so comes out with its error and the error's class.
+    """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"chunk_id": frame["id"], "document_id": frame["document_id"], "vector": call([(t or "").strip() for t in frame["text"]]) if len(frame) else []})
+            texts = [(t or "").strip() for t in frame["text"]]
+            out, error, kind = [None] * len(texts), None, None
+            try:
+                out = halved(embedder, texts)
+            except Exception as fault:
+                error, kind = f"{type(fault).__name__}: {fault}", class_of(fault)
+            yield pd.DataFrame({"chunk_id": frame["id"], "document_id": frame["document_id"], "vector": pd.Series(out, dtype=object), "error": error, "kind": kind})
+
+    made = rows.select("id", "document_id", "text").mapInPandas(work, "chunk_id long, document_id string, vector array<float>, error string, kind string")
+    return made.select("chunk_id", "document_id", F.lit(dim).alias("dim"), F.lit(model).alias("model"), F.when(F.col("error").isNull(), unit(F.col("vector"), dim, True)).cast("array<float>").alias("vector"), "error", "kind")
+
+
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model: str, dim: int) -> DataFrame:
+    """(chunk_id, document_id, dim, model, vector); an error that neither waiting nor smaller requests help ends the job."""
+    made = embedded_or_errors(rows, embedder, model, dim)
+    failed = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("array<float>"))
+    return made.select("chunk_id", "document_id", "dim", "model", F.coalesce(failed, "vector").alias("vector"))
+
+
+def save_index(embeddings: DataFrame, model: str, dim: int, folder: str) -> int:
+    """Codes and ranges as Parquet below `folder`; the number of vectors. A search over what `open_index` returns trains nothing."""
+    codes_, low, high = build_index(embeddings, model, dim)
+    spark = embeddings.sparkSession
+    codes_.write.mode("overwrite").parquet(f"{folder}/codes")
+    rows = [(model, dim, d, a, b) for d, (a, b) in enumerate(zip(low, high))]
+    spark.createDataFrame(rows, "model string, dim int, d int, low double, high double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/ranges")
+    return spark.read.parquet(f"{folder}/codes").count()
+
 
-    made = rows.select("id", "document_id", "text").mapInPandas(work, "chunk_id long, document_id string, vector array<float>")
-    return made.select("chunk_id", "document_id", F.lit(dim).alias("dim"), F.lit(model).alias("model"), unit(F.col("vector"), dim, True).cast("array<float>").alias("vector"))
+def open_index(spark: SparkSession, folder: str) -> tuple[DataFrame, list[float], list[float]]:
+    """What `search` takes, from `save_index`; as many rows as dimensions reach the driver."""
+    edges = sorted((r["d"], r["low"], r["high"]) for r in spark.read.parquet(f"{folder}/ranges").collect())
+    return spark.read.parquet(f"{folder}/codes"), [e[1] for e in edges], [e[2] for e in edges]
 
 
 def upsert(state: DataFrame, new: DataFrame, now: Column) -> DataFrame:
@@ -171,6 +196,6 @@ def upsert(state: DataFrame, new: DataFrame, now: Column) -> DataFrame:
 def index_status(embeddings: DataFrame, meta: dict[str, str], model: str, dim: int) -> dict:
     """Whether the index can answer: it exists, is for this model and dim and not ahead of the vectors."""
     count = int(meta.get("vector_index_count") or 0)
-    have = current(embeddings).where((F.col("model") == model) & (F.col("dim") == dim)).count()
+    have = current(embeddings, False).where((F.col("model") == model) & (F.col("dim") == dim)).count()
     fits = meta.get("vector_index_model") == model and int(meta.get("vector_index_dim") or 0) == dim
     return {"available": bool(meta.get("vector_index_path")) and count > 0 and fits and have >= count, "dirty": meta.get("vector_index_dirty") == "1", "index_count": count, "embeddings": have}

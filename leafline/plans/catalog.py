@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from leafline.functions import geometry as G
 from leafline.functions import text as T
-from leafline.operators import ingest, jobs, search, stats, vectors
+from leafline.operators import ingest, jobs, publication, remote, search, stats, vectors, workers
 from leafline.session import table
-from leafline.sources import extract
+from leafline.sources import extract, ocr
 from leafline.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +158,14 @@ def _rects(s: SparkSession, d: str) -> DataFrame:
     return rows.select("id", x.alias("max_x"), y.alias("max_y"), r.alias("r")).select("id", "max_x", "max_y", *(F.round(f"r.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
+def _resolutions(s: SparkSession, d: str) -> DataFrame:
+    """Resolution and progress of pages whose sides, in points, are made from the documents' sizes."""
+    width, height = (F.col("size") % 3000 + 300).cast("double"), (F.col("size") % 4100 + 400).cast("double")
+    dpi = G.page_dpi(width, height, F.col("page_count"))
+    done = F.round(stats.progress(F.col("page_count") / 2, F.col("page_count")), 6)
+    return table(s, d, "documents").where("page_count > 0").select("doc_id", dpi.alias("dpi"), done.alias("progress"))
+
+
 def _citations(s: SparkSession, d: str) -> DataFrame:
     info = F.struct(F.col("source").alias("author_or_editor"), "title", F.col("lang").alias("publisher"), F.date_format("created_at", "yyyy").alias("publication_time"), F.lit(None).cast("string").alias("citation"))
     return table(s, d, "documents").select("doc_id", T.citation(info).alias("citation"))
@@ -229,6 +237,12 @@ def queries() -> dict[str, Query]:
         "bbox_to_rect": _rects,
         "citation_format": _citations,
         "publication_window": lambda s, d: T.page_window(table(s, d, "chunks").dropDuplicates(["id"])),
+        "text_backfill": lambda s, d: workers.backfill(docs(s, d), table(s, d, "jobs"), F.lit(NOW).cast("timestamp"))[1].select("document_id", "type", "status", F.col("priority").cast("bigint").alias("priority")),
+        "index_rebuild_due": lambda s, d: workers.rebuild_due(docs(s, d), table(s, d, "chunk_embeddings"), table(s, d, "jobs"), 0, MODEL, DIM),
+        "ocr_batches": lambda s, d: ocr.batches(docs(s, d)),
+        "error_classes": lambda s, d: table(s, d, "jobs").select(remote.error_class(F.col("error"), F.lit(None).cast("int")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")),
+        "page_resolution": _resolutions,
+        "payloads": lambda s, d: publication.payloads(table(s, d, "chunks")).select("document_id", F.length("payload").alias("size"), F.md5("payload").alias("sum")),
     }
 
 
@@ -248,6 +262,12 @@ def oracle_sql() -> dict[str, str]:
         WHEN nsize > 100000000 THEN CASE WHEN NOT (nsize <> size OR deleted) AND status = 'error' THEN 'same' ELSE 'oversize' END
         WHEN nsize <> size OR deleted THEN 'changed' ELSE 'same' END AS change
         FROM (SELECT *, CASE WHEN ext = '.md' THEN size + 1 ELSE size END AS nsize FROM documents) s)"""
+    window = """pg AS (SELECT DISTINCT ON (id) * FROM chunks), mx AS (SELECT document_id, max(page) AS pages FROM pg WHERE page IS NOT NULL GROUP BY document_id),
+      ln AS (SELECT pg.document_id, page, ordinal, id, '[p.' || page || '] ' || text AS t, pages FROM pg JOIN mx USING (document_id) WHERE page <= 5 OR page > pages - 5),
+      pw AS (SELECT document_id, coalesce(string_agg(t, chr(10) ORDER BY page, ordinal, id) FILTER (WHERE page <= 5), '') AS first_text,
+        coalesce(string_agg(t, chr(10) ORDER BY page, ordinal, id) FILTER (WHERE page > pages - 5), '') AS last_text FROM ln GROUP BY document_id)"""
+    sides, area = "(size % 3000 + 300)", "((size % 3000 + 300) * (size % 4100 + 400))"
+    lowered = f"greatest(96, least(asked, floor(sqrt(40000000.0 / {area}) * 72)))"
     return {
         "chunk_lines": rf"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS ordinal, CAST(line AS INTEGER) AS line, t AS text FROM (
             SELECT doc_id, line, trim(regexp_replace(replace(p, chr(0), ' '), '{WS}', ' ', 'g')) AS t FROM (
@@ -320,4 +340,33 @@ def oracle_sql() -> dict[str, str]:
                 list_min(list_transform(bbox, lambda p: p[1])) AS nx, list_min(list_transform(bbox, lambda p: p[2])) AS ny FROM chunks WHERE bbox IS NOT NULL))""",
         "citation_format": rf"""SELECT doc_id, CASE WHEN t <> '' THEN concat_ws('，', concat(coalesce(a, ''), '《', t, '》'), p, strftime(created_at, '%Y')) END AS citation FROM (
             SELECT doc_id, created_at, trim(regexp_replace(coalesce(title, ''), '{WS}', ' ', 'g')) AS t, nullif(trim(regexp_replace(source, '{WS}', ' ', 'g')), '') AS a, nullif(trim(regexp_replace(lang, '{WS}', ' ', 'g')), '') AS p FROM documents)""",
+        "snippets": f"""WITH {CH}, {DOCS}, {_rank(PHRASE)}, h AS (SELECT r.id, r.text, instr(r.lt, '{PHRASE}') - 1 AS pos FROM r JOIN d USING (document_id) ORDER BY rank, coalesce(r.page, 0), r.ordinal, r.id LIMIT 51)
+            SELECT id AS match_id, CASE WHEN pos > 18 THEN '…' ELSE '' END || regexp_replace(substr(text, greatest(pos - 18, 0) + 1, pos + {len(PHRASE) + 90} - greatest(pos - 18, 0)), '(?i)({PHRASE})', '<mark>\\1</mark>', 'g')
+              || CASE WHEN pos + {len(PHRASE) + 90} < length(text) THEN '…' ELSE '' END AS snippet FROM h""",
+        "publication_window": f"WITH {window} SELECT * FROM pw",
+        "payloads": f"""WITH {window}, p AS (SELECT document_id, CASE WHEN trim(first_text) = '' AND trim(last_text) = '' THEN '' ELSE
+              '--- FIRST FIVE PAGES ---' || chr(10) || trim(first_text) || chr(10) || chr(10) || '--- LAST FIVE PAGES ---' || chr(10) || trim(last_text) END AS w,
+              substr('--- FIRST FIVE PAGES ---' || chr(10) || left(trim(first_text), 12000) || chr(10) || chr(10) || '--- LAST FIVE PAGES ---' || chr(10) || right(trim(last_text), 12000), 1, 24000) AS c FROM pw)
+            SELECT document_id, CAST(length(t) AS INTEGER) AS size, md5(t) AS sum FROM (SELECT document_id, CASE WHEN length(w) <= 24000 THEN w ELSE c END AS t FROM p)""",
+        "html_to_text": """SELECT doc_id, CASE WHEN coalesce(title, '') <> '' THEN title || chr(10) ELSE '' END
+            || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: x || chr(10)), '') AS text FROM documents WHERE text IS NOT NULL""",
+        "embed_batch_packing": """WITH g AS (SELECT document_id, CAST(floor(coalesce(ordinal, 0) / 4096) AS INTEGER) AS part, list(struct_pack(o := ordinal, i := id,
+                n := coalesce(least(30000, greatest(1, length(trim(text, ' ')) + 4)), 4)) ORDER BY ordinal, id) AS l FROM (SELECT DISTINCT ON (id) * FROM chunks) GROUP BY ALL),
+              f AS (SELECT document_id, part, l, list_reduce(list_transform(l, lambda x: struct_pack(b := CAST(0 AS BIGINT), t := CAST(x.n AS BIGINT), o := CAST([0] AS BIGINT[]))),
+                lambda a, x: struct_pack(b := a.b + CASE WHEN a.t + x.t > 30000 THEN 1 ELSE 0 END, t := CASE WHEN a.t + x.t > 30000 THEN x.t ELSE a.t + x.t END,
+                  o := list_append(a.o, a.b + CASE WHEN a.t + x.t > 30000 THEN 1 ELSE 0 END))).o AS o FROM g)
+            SELECT document_id, part, unnest(l).i AS id, unnest(l).o AS ordinal, CAST(unnest(o) AS INTEGER) AS batch FROM f""",
+        "text_backfill": f"""WITH {JOBS} SELECT id AS document_id, 'index' AS type, 'queued' AS status, CAST(80 AS BIGINT) AS priority FROM documents WHERE NOT deleted AND ext IN ('.txt', '.md', '.doc', '.docx', '.epub')
+            AND id NOT IN (SELECT document_id FROM j WHERE type = 'index' AND status IN ('queued', 'processing') AND document_id IS NOT NULL)""",
+        "index_rebuild_due": f"""WITH {EMB}, {JOBS}, h AS (SELECT document_id, count(*) AS n FROM e WHERE model = '{MODEL}' AND dim = {DIM} GROUP BY document_id),
+            a AS (SELECT count(*) FILTER (WHERE coalesce(n, 0) >= chunk_count) AS embedded_documents FROM documents LEFT JOIN h ON h.document_id = id WHERE NOT deleted AND text_chars > 0 AND chunk_count > 0),
+            b AS (SELECT count(*) AS active_jobs FROM j JOIN documents x ON x.id = j.document_id WHERE NOT x.deleted AND j.type = 'vector' AND j.status IN ('queued', 'processing'))
+            SELECT embedded_documents, active_jobs, embedded_documents >= 100 OR active_jobs = 0 AS due FROM a, b""",
+        "ocr_batches": """SELECT id AS document_id, CAST(b AS INTEGER) AS batch, CAST(b * 100 + 1 AS INTEGER) AS first_page, CAST(least((b + 1) * 100, page_count) AS INTEGER) AS last_page
+            FROM (SELECT id, page_count, unnest(range(CAST(ceil(page_count / 100.0) AS INTEGER))) AS b FROM documents WHERE page_count > 0)""",
+        "error_classes": """SELECT CASE WHEN regexp_matches(m, '(?s)out of memory|cuda oom|cuda.*memory|memory.*cuda') THEN 'memory' WHEN regexp_matches(m, 'timeout|timed out|http 408|http 504') THEN 'time' ELSE 'final' END AS kind,
+            count(*) AS n FROM (SELECT lower(coalesce(error, '')) AS m FROM jobs) GROUP BY 1""",
+        "page_resolution": f"""SELECT doc_id, CAST(CASE WHEN ceil({sides} * asked / 72.0 * ((size % 4100 + 400) * asked / 72.0)) <= 40000000 THEN asked
+              WHEN ceil({sides} * {lowered} / 72.0 * ((size % 4100 + 400) * {lowered} / 72.0)) <= 40000000 THEN {lowered} END AS INTEGER) AS dpi, 0.485 AS progress
+            FROM (SELECT *, CASE WHEN page_count >= 300 THEN 160 ELSE 220 END AS asked FROM documents WHERE page_count > 0)""",
     }
