@@ -59,6 +59,7 @@ def cleaned_documents(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """
     bad = frequent_rows(chunks, documents)
     kept = chunks.select("id", "document_id", "ordinal", "text").where(F.col("text").isNotNull()).join(bad, F.col("id") == F.col("chunk_id"), "left_anti")
-    lines = kept.dropDuplicates(["id"]).withColumn("part", F.floor(F.coalesce(F.col("ordinal"), F.lit(0)) / BLOCK).cast("int"))
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id", "text")))
+    lines = kept.withColumn("part", F.floor(F.coalesce(F.col("ordinal"), F.lit(0)) / BLOCK).cast("int"))
+    # Rows delivered twice are equal, so they drop out of the gathered block and the texts are shuffled once.
+    ordered = F.array_distinct(F.array_sort(F.collect_list(F.struct("ordinal", "id", "text"))))
     return lines.groupBy("document_id", "part").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))

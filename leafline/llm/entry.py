@@ -39,6 +39,7 @@ def queries() -> dict[str, Query]:
         "p3_found": _on(split.oversized, "chunks"),
         "p3_pieces": _on(split.pieces_of_all, "chunks"),
         "p3_piece_sizes": _on(_piece_sizes, "chunks"),
+        "p3_rejoined": _on(split.rejoined, "chunks"),
         "p4_found": _on(neardup.similar_documents, "chunks", "documents"),
         "p4_groups": _on(neardup.similar_groups, "chunks", "documents"),
         "p5_found": _on(scans.scan_defects, "chunks", "documents"),
@@ -69,6 +70,18 @@ _SHARES = r"""
   p AS (SELECT a AS doc_id_a, b AS doc_id_b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.6 * (x.n + y.n - k))"""
 
 
+# Problem 6 by its definition.
+_FREQUENT = r"""
+  lines AS (
+              SELECT c.id, c.document_id, d.source, regexp_replace(lower(c.text), '[^\p{L}]+', '', 'g') AS k
+              FROM chunks c JOIN documents d ON d.id = c.document_id WHERE d.source IS NOT NULL),
+            base AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source),
+            often AS (
+              SELECT l.source, l.k FROM lines l JOIN base b ON b.source = l.source WHERE length(l.k) >= 10
+              GROUP BY l.source, l.k, b.n HAVING count(DISTINCT l.document_id) >= 4 AND count(DISTINCT l.document_id) >= 0.05 * b.n),
+  bad AS (SELECT DISTINCT l.id AS chunk_id FROM lines l JOIN often o ON o.source = l.source AND o.k = l.k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL expresses without repeating the operator: definitions where they are short, else invariants and round trips."""
     return {
@@ -79,16 +92,13 @@ def oracle_sql() -> dict[str, str]:
               r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
             SELECT x AS doc_id, min(y) AS group_id, (SELECT count(*) FROM l WHERE l.x = r.x) AS links FROM r GROUP BY x""",
         "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(text) > 600",
-        "p6_found": r"""
-            WITH lines AS (
-              SELECT c.id, c.document_id, d.source, regexp_replace(lower(c.text), '[^\p{L}]+', '', 'g') AS k
-              FROM chunks c JOIN documents d ON d.id = c.document_id WHERE d.source IS NOT NULL),
-            base AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source),
-            often AS (
-              SELECT l.source, l.k FROM lines l JOIN base b ON b.source = l.source WHERE length(l.k) >= 10
-              GROUP BY l.source, l.k, b.n HAVING count(DISTINCT l.document_id) >= 4 AND count(DISTINCT l.document_id) >= 0.05 * b.n)
-            SELECT DISTINCT l.id AS chunk_id FROM lines l JOIN often o ON o.source = l.source AND o.k = l.k""",
+        "p6_found": f"WITH {_FREQUENT} SELECT chunk_id FROM bad",
         # Every text with a token is laid whole and no container is overfull: an invariant of the packing.
         "p9_laid": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE length(text) > 0",
+        # Pieces put together again are the text, and none is too long.
+        "p3_rejoined": "SELECT DISTINCT id AS chunk_id, text, true AS fits FROM chunks WHERE length(text) > 600",
+        "p6_documents": rf"""WITH {_FREQUENT}
+            SELECT document_id, CAST(floor(coalesce(ordinal, 0) / 4096) AS INTEGER) AS part, string_agg(text, chr(10) ORDER BY ordinal, id) AS text
+            FROM (SELECT DISTINCT id, document_id, ordinal, text FROM chunks) WHERE text IS NOT NULL AND id NOT IN (SELECT chunk_id FROM bad) GROUP BY ALL""",
         "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

@@ -104,3 +104,16 @@ def pieces_of_all(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
 def oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(chunk_id): the rows that come out in several pieces."""
     return split_texts(chunks, limit, overlap).where("piece = 2").select("chunk_id")
+
+
+def rejoined(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(chunk_id, text, fits): the text of each oversized row put together from its pieces, and whether all pieces and overlaps are within their limits."""
+    ordered = F.array_sort(F.collect_list(F.struct("piece", "start", "text")))
+    start = F.struct(F.lit("").alias("text"), F.lit(True).alias("fits"))
+
+    def step(made, p):
+        over = F.length(made["text"]) - p["start"]
+        fits = (F.length(p["text"]) <= limit) & ((p["piece"] == 1) | over.between(1, overlap))
+        return F.struct(F.concat(made["text"], F.substring(p["text"], over + 1, F.length(p["text"]))).alias("text"), (made["fits"] & fits).alias("fits"))
+
+    return split_texts(chunks, limit, overlap).groupBy("chunk_id").agg(F.aggregate(ordered, start, step).alias("made")).select("chunk_id", "made.text", "made.fits")
