@@ -5,7 +5,7 @@ sample; in each shard a graph is built (greedy searches propose neighbours, rela
 diverse edges) and beam searches answer the queries that were sent there. In the self-join every
 vector asks the ROUTES nearest shards; in a search for the stated query set the queries ask all shards.
 Shards above LARGEST are salted into sub-shards, each of which is asked. The candidates' cosines are computed from the
-vectors, so only missed neighbours, never wrong values, are possible.
+vectors, so no value is wrong; but where a neighbour is missed, the next one takes its place, which is a row too many among the k.
 
 Equal vectors are one node that carries the k + 1 least chunk ids, enough for any top k; so a
 group of copies, whatever its size, is no load on a shard. Ties in similarity go to the smaller chunk id.
@@ -67,7 +67,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarr
             i = np.concatenate([ids[rows], near[improving]], 1)
             f = np.concatenate([fresh[rows], new[improving]], 1)
             top = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
-            sims[rows], ids[rows], fresh[rows] = (np.take_along_axis(v, top, 1) for v in (s, i, f))
+            each = np.arange(len(rows))[:, None]
+            sims[rows], ids[rows], fresh[rows] = s[each, top], i[each, top], f[each, top]
     ids[sims <= -2] = -1
     order = np.argsort(-sims, axis=1, kind="stable")
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
@@ -80,11 +81,12 @@ def robust_prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int,
     sim = np.matmul(v, x[own][:, :, None])[:, :, 0]
     sim[c == own[:, None]] = -4
     order = np.argsort(-sim, axis=1, kind="stable")
-    c, sim, v = np.take_along_axis(c, order, 1), np.take_along_axis(sim, order, 1), np.take_along_axis(v, order[:, :, None], 1)
+    rows = np.arange(len(own))
+    each = rows[:, None]
+    c, sim, v = c[each, order], sim[each, order], v[each, order]  # whole vectors are moved, not elements
     alive = sim > -3
     alive[:, 1:] &= c[:, 1:] != c[:, :-1]
     between, mine = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1)), 2 - 2 * sim
-    rows = np.arange(len(own))
     out = np.repeat(own[:, None], degree, 1).astype(np.int32)  # an edge to itself stands for none
     for k in range(degree):
         pick = alive.argmax(1)
@@ -109,18 +111,21 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
         own = order[at : at + BATCH]
         found, _ = beam_search(x, graph, x[own], entries(n, len(own)), beam)
         graph[own] = robust_prune(x, own, np.concatenate([found, graph[own]], 1), degree, alpha)
-        # Reverse edges: every target takes up to BACK of the nodes that chose it and is pruned again.
+        # Reverse edges: every target takes the nodes that chose it, BACK at a time, and is pruned again with each lot; none is left out.
         source, target = np.repeat(own, degree), graph[own].ravel()
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
         nodes, begin = np.unique(target, return_index=True)
         place = np.arange(len(target)) - np.repeat(begin, np.diff(np.append(begin, len(target))))
-        back = np.full((len(nodes), BACK), -1, np.int32)
-        fits = place < BACK
-        back[np.searchsorted(nodes, target[fits]), place[fits]] = source[fits]
-        for b in range(0, len(nodes), BATCH):
-            some = nodes[b : b + BATCH]
-            graph[some] = robust_prune(x, some, np.concatenate([graph[some], back[b : b + BATCH]], 1), degree, alpha)
+        many = np.diff(np.append(begin, len(target)))
+        for first in range(0, int(many.max()), BACK):
+            lot = np.flatnonzero(many > first)
+            back = np.full((len(nodes), BACK), -1, np.int32)
+            fits = (place >= first) & (place < first + BACK)
+            back[np.searchsorted(nodes, target[fits]), place[fits] - first] = source[fits]
+            for b in range(0, len(lot), BATCH):
+                some = lot[b : b + BATCH]
+                graph[nodes[some]] = robust_prune(x, nodes[some], np.concatenate([graph[nodes[some]], back[some]], 1), degree, alpha)
     return graph
 
 

@@ -75,7 +75,7 @@ def test_close_pairs_agree_with_brute_force(spark):
     np.fill_diagonal(s, -1)
     want = {(int(min(i, j)), int(max(i, j))) for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
     got = {tuple(r) for r in vectorgraph.close_pairs(embeddings(spark, rows)).collect()}
-    assert len(got & want) >= 0.95 * len(want) and got <= want | {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.9))}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(got)
     assert vectorgraph.close_pairs(embeddings(spark, [])).count() == 0
 
 
@@ -96,6 +96,19 @@ def test_graph_recall():
     assert np.mean([len({*a} & {*b[:64]}) / 5 for a, b in zip(truth, ids)]) >= 0.9
 
 
+def test_every_reverse_edge_is_offered(monkeypatch):
+    """A hub that everybody chooses is pruned with all who chose it, not only with the first BACK."""
+    offered = []
+    prune = vectorgraph.robust_prune
+    monkeypatch.setattr(vectorgraph, "robust_prune", lambda x, own, cand, *a: (offered.extend(zip(own.tolist(), cand.tolist())), prune(x, own, cand, *a))[1])
+    made = np.random.default_rng(2)
+    x = np.concatenate([np.ones((1, 8)), np.ones((60, 8)) + 0.8 * made.normal(size=(60, 8))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectorgraph.build_graph(x)
+    hub = [{*c} - {-1} for own, c in offered if own == 0]
+    assert len(hub) > 2 and len(set().union(*hub)) > vectorgraph.DEGREE + vectorgraph.BACK
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab .,\ńé。字👍🏽"), min_size=0, max_size=3000))
