@@ -8,8 +8,12 @@ rows of the next page and the page before; so a word that goes on overleaf is se
 * misread characters are found by a noisy channel: words that are rare in the corpus get the candidates from which known character
   confusions could have made them, and Viterbi search over the line weighs confusion probabilities against word pair likelihoods.
 
+The probability of each confusion is estimated from the scanned rows themselves, by one round of expectation maximisation over their words: how often
+it explains a rare word by a likelier one, against how often what is printed occurs. CONFUSED is where the round starts and what few occurrences are smoothed to.
+
 Corpus counts (words, word pairs, characters of words) are hashed into tables of fixed size over all rows; rows that were not
-scanned count CLEAN times as much, so that repeated misreadings don't become words.
+scanned count CLEAN times as much, so that repeated misreadings don't become words. From every count is taken what a cell of its table holds by chance, the
+table's upper quartile: nothing while the tables are mostly empty, and in full ones what a word that never occurred would seem to have.
 
 Cases: null text is no row; pages without number are runs of 64 ordinals; rows delivered twice count once; ties in line are ordered by
 ordinal and id; a document without a row in the documents table has no title; empty tables give no row.
@@ -36,6 +40,8 @@ EDGE = 120
 TABLES = 5
 # Log probabilities of one confusion, of a word outside the counts, and the weight of single words beside pairs.
 CONFUSED, UNSEEN, SINGLE = log(2e-3), log(1e-3), 20.0
+# Occurrences that the start of the confusions counts for, and the most probable a confusion can get.
+WEIGHT, MOST = 1000, 0.2
 # The same of a confusion of Chinese look-alikes, and unscanned occurrences under which a Chinese character is rare.
 HAN_CONFUSED, RARE = log(1e-2), 5
 
@@ -100,15 +106,17 @@ def _grams(word: str) -> list[str]:
 class Language:
     """Likelihoods from the hashed counts; the smaller of two cells is nearly free of collisions."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
+    def __init__(self, counts: np.ndarray, noise: list[int] | None = None, rates: dict[tuple[str, str], float] | None = None):
+        self.counts, self.noise, self.rates = counts, noise or chance(counts), rates or {}
         self.words = float(max(counts[:SLOTS].sum(dtype=np.int64), 1))
         self.signs_total = self.count(2, "=") + 1
         self._word: dict[str, tuple[float, float]] = {}
         self._fixes: dict[str, list[tuple[str, float]]] = {}
+        self.used: dict[str, dict[str, tuple]] = {}
 
     def count(self, kind: int, part: str) -> float:
-        return float(min(self.counts[c] for c in _cells(kind, part)))
+        least = min(int(self.counts[c]) - self.noise[c // SLOTS] for c in _cells(kind, part))
+        return float(least) if least > 0 else 0.0
 
     def spelt(self, word: str) -> float:
         s = 0.0
@@ -137,25 +145,30 @@ class Language:
         if got is not None:
             return got
         out = {word: 0.0}
+        used: dict[str, tuple] = {word: ()}
         # Only words that are not frequent have candidates; those must be far likelier than the word.
-        if self.word(word)[0] < max(3 * CLEAN, 2e-5 * self.words) and 2 < len(word) < 40 and not word.isdigit():
+        if self.word(word)[0] < max(3 * CLEAN, 2e-5 * self.words) and len(word) > 2 and not word.isdigit():
             base = self.word(word)[1]
             front = [word]
-            for depth in (1, 2):
+            for _ in (1, 2):
                 new = {}
                 for w in front:
                     for i in range(len(w)):
                         for k in (1, 2):
-                            for a in _BACK.get(w[i : i + k], ()) if i + k <= len(w) else ():
+                            read = w[i : i + k]
+                            for a in _BACK.get(read, ()) if i + k <= len(w) else ():
                                 c = w[:i] + a + w[i + k :]
-                                if c not in out and (gain := self.word(c)[1] + depth * CONFUSED - base) > -3:
-                                    new[c] = gain
-                top = sorted(new, key=lambda c: -new[c])[:3]
-                for c in top:
-                    out[c] = depth * CONFUSED
-                front = top
+                                channel = out[w] + self.rates.get((a, read), CONFUSED)
+                                if c not in out and (gain := self.word(c)[1] + channel - base) > -3 and gain > new.get(c, (-1e9,))[0]:
+                                    new[c] = gain, channel, (*used[w], (a, read))
+                front = sorted(new, key=lambda c: -new[c][0])[:3]
+                for c in front:
+                    _, out[c], used[c] = new[c]
+            if len(out) > 1:
+                self.used[word] = used
         if len(self._fixes) > 300_000:
             self._fixes.clear()
+            self.used.clear()
         got = self._fixes[word] = list(out.items())
         return got
 
@@ -293,6 +306,44 @@ def language_counts(chunks: DataFrame) -> np.ndarray:
     return counts
 
 
+def chance(counts: np.ndarray) -> list[int]:
+    """What a cell of each table holds by chance: the upper quartile of its cells."""
+    return [int(np.partition(t, 3 * SLOTS // 4)[3 * SLOTS // 4]) for t in counts.reshape(TABLES, SLOTS)]
+
+
+def confusion_rates(chunks: DataFrame, shared) -> dict[tuple[str, str], float]:
+    """Log probability of each confusion (printed, read), estimated from all scanned rows; one row a confusion and one a printed sign reach the driver."""
+
+    def explained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lang = Language(*shared.value)
+        words: dict[str, int] = {}
+        for frame in frames:
+            for text in frame["text"]:
+                for w in _TOKEN.findall(text.lower()):
+                    if not _HAN.match(w):
+                        words[w] = words.get(w, 0) + 1
+        uses: dict[tuple[str, str], float] = {}
+        printed = {a for a, _ in CONFUSIONS}
+        for w, n in words.items():
+            found = lang.fixes(w)
+            part = np.array([lang.word(c)[1] + channel for c, channel in found])
+            part = np.exp(part - part.max())
+            part /= part.sum()
+            for (c, _), share in zip(found, part.tolist()):
+                for pair in lang.used.get(w, {}).get(c, ()):
+                    uses[pair] = uses.get(pair, 0.0) + share * n
+                if share > 0.5:
+                    for a in printed:
+                        if a in c:
+                            uses[a, ""] = uses.get((a, ""), 0.0) + n * c.count(a)
+        yield pd.DataFrame([(*k, v) for k, v in uses.items()], columns=["printed", "read", "n"])
+
+    rows = chunks.select("text").where((F.col("source") == "ocr") & F.col("text").isNotNull())
+    sums = {(r["printed"], r["read"]): r["n"] for r in rows.mapInPandas(explained, "printed string, read string, n double").groupBy("printed", "read").agg(F.sum("n").alias("n")).collect()}
+    start = float(np.exp(CONFUSED))
+    return {(a, b): log(min(MOST, (sums.get((a, b), 0.0) + start * WEIGHT) / (sums.get((a, ""), 0.0) + WEIGHT))) for a, b in CONFUSIONS}
+
+
 def _letters(text: str) -> str:
     return _NO_LETTER.sub("", text.lower())
 
@@ -487,10 +538,12 @@ def _titled(rows: list, titles: list[str]) -> bool:
 
 
 def _worked(chunks: DataFrame, documents: DataFrame, text_only: bool) -> DataFrame:
-    counts = chunks.sparkSession.sparkContext.broadcast(language_counts(chunks))
+    known = language_counts(chunks)
+    counts = chunks.sparkSession.sparkContext.broadcast((known, chance(known)))
+    rates = confusion_rates(chunks, counts)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lang = Language(counts.value)
+        lang = Language(*counts.value, rates)
         for frame in frames:
             out = []
             for doc, page, rows, ahead, behind, often, title in zip(*(frame[c] for c in ("document_id", "page", "rows", "ahead", "behind", "often", "title"))):

@@ -210,6 +210,20 @@ def test_chinese_misreadings(spark):
     assert "没有接口就没有缓存" in text and "不是算法,而是代码库" in text and "接口真的在编译器之前" in text and "的人把算法" in text and read[6] in text
 
 
+def test_confusions_are_learnt_and_full_tables_are_seen_through(spark):
+    plain = ["the quick brown fox jumps over the lazy dog near the market in the morning"] * 60
+    read = ["the quick br0wn f0x jumps 0ver the lazy d0g near the market in the m0rning"] * 4 + ["the quick brown fox jumps over the lazy dog"] * 4
+    df = chunks(spark, [("p", t) for t in plain] + [("s", t, "ocr", 1, n) for n, t in enumerate(read, 1)])
+    counts = scans.language_counts(df)
+    rates = scans.confusion_rates(df, spark.sparkContext.broadcast((counts, scans.chance(counts))))
+    assert rates["o", "0"] > scans.CONFUSED and rates["o", "0"] > rates["s", "5"] and max(rates.values()) <= np.log(scans.MOST)
+    # Tables in which every cell holds something by chance: what never occurred must not look known.
+    full = counts + np.random.default_rng(1).poisson(40, len(counts)).astype(counts.dtype)
+    lang = scans.Language(full)
+    assert min(scans.chance(full)) >= 40 and lang.count(0, "market") > 1000 and np.mean([lang.count(0, f"never{i}") for i in range(400)]) < 2
+    assert scans.chance(counts) == [0] * scans.TABLES
+
+
 def test_scans_of_nothing(spark):
     assert scans.scan_defects(chunks(spark, [("d", "text only"), ("d", None)]), documents(spark, [])).count() == 0
 
