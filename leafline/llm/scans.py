@@ -28,6 +28,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +91,6 @@ def _roman(n: int) -> str:
 
 def _cells(kind: int, part: str) -> tuple[int, ...]:
     """Cells of a word (kind 0), a pair (1) or a piece of a word (2)."""
-    import xxhash
-
     h = xxhash.xxh64_intdigest(part)
     if kind == 2:
         return (4 * SLOTS + (h & (SLOTS - 1)),)
@@ -107,21 +106,34 @@ class Language:
     """Likelihoods from the hashed counts; the smaller of two cells is nearly free of collisions."""
 
     def __init__(self, counts: np.ndarray, noise: list[int] | None = None, rates: dict[tuple[str, str], float] | None = None):
-        self.counts, self.noise, self.rates = counts, noise or chance(counts), rates or {}
+        self.noise, self.rates = noise or chance(counts), rates or {}
+        self.tables = [memoryview(np.ascontiguousarray(t)) for t in counts.reshape(TABLES, SLOTS)]
         self.words = float(max(counts[:SLOTS].sum(dtype=np.int64), 1))
         self.signs_total = self.count(2, "=") + 1
         self._word: dict[str, tuple[float, float]] = {}
+        self._gram: dict[str, float] = {}
         self._fixes: dict[str, list[tuple[str, float]]] = {}
         self.used: dict[str, dict[str, tuple]] = {}
 
     def count(self, kind: int, part: str) -> float:
-        least = min(int(self.counts[c]) - self.noise[c // SLOTS] for c in _cells(kind, part))
+        h = xxhash.xxh64_intdigest(part)
+        at = 2 * kind
+        least = self.tables[at][h & (SLOTS - 1)] - self.noise[at]
+        if kind != 2:
+            other = self.tables[at + 1][(h >> 32) & (SLOTS - 1)] - self.noise[at + 1]
+            if other < least:
+                least = other
         return float(least) if least > 0 else 0.0
 
     def spelt(self, word: str) -> float:
         s = 0.0
         for g in _grams(word):
-            s += log((self.count(2, g) + 0.05 * CLEAN) / (self.count(2, "~" + g[:2]) + 2.0 * CLEAN))
+            got = self._gram.get(g)
+            if got is None:
+                got = self._gram[g] = log((self.count(2, g) + 0.05 * CLEAN) / (self.count(2, "~" + g[:2]) + 2.0 * CLEAN))
+                if len(self._gram) > 500_000:
+                    self._gram.clear()
+            s += got
         return s
 
     def word(self, word: str) -> tuple[float, float]:
