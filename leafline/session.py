@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -34,13 +35,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(os.path.join(shared_dir(spark), "lineage-" + uuid.uuid4().hex[:8]))
+        context.setCheckpointDir(_own(spark, os.path.join(shared_dir(spark), "lineage-" + uuid.uuid4().hex[:8])))
     return df.checkpoint(eager=True)
 
 
+# Folders of this process in the shared folder, by application.
+_made: dict[str, list[str]] = {}
+
+
+def _own(spark: SparkSession, path: str) -> str:
+    if not _made:
+        atexit.register(_clean_at_exit)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this session wrote into the shared folder; results that still read it must have been stored."""
+    jvm = spark.sparkContext._jvm
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _clean_at_exit() -> None:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            clean(spark)
+    except Exception:
+        pass  # the session is gone already
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet into the shared folder and read back: a columnar lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = _own(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
     return spark.read.parquet(path)

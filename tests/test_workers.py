@@ -253,3 +253,17 @@ def test_jobs_of_cancelled_documents(spark):
     log = spark.createDataFrame([job(1, "a", "processing"), job(2, "b", "queued"), job(3, "b", "queued")], JOB)
     stopped = jobs.cancel(log, F.col("id").isin(1, 2), "stop", now())
     assert [r["id"] for r in jobs.documents_after_cancel(documents(spark, ("a", "queued", 0, ".txt"), ("b", "queued", 0, ".txt")), log, stopped).collect()] == ["a"]
+
+
+def test_shared_files_are_deleted(spark):
+    import os
+
+    from leafline import session
+
+    kept = session._made.pop(spark.sparkContext.applicationId, [])
+    df = session.shared_table(spark.range(3), "probe")
+    (path,) = session._made[spark.sparkContext.applicationId]
+    assert df.count() == 3 and os.path.exists(path)
+    session.clean(spark)
+    assert not os.path.exists(path)
+    session._made[spark.sparkContext.applicationId] = kept
