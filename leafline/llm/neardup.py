@@ -6,6 +6,8 @@
    the bits for Hamming distances. Minima of a document of several blocks are folded by position with a built-in aggregate.
 3. Equal sets are one class from here on; only the smallest id represents it. Representatives meet in buckets of equal
    fingerprint bands (at the threshold itself 99.99 % meet, well above it all); buckets of more than HOT members are split by salts.
+   Unlike documents that meet by chance grow as the square of the documents, so they part in the bucket, before anything is written:
+   a meeting is none where more than APART of the SKETCH bits that go with every band differ (of pairs at the threshold one in a million).
 4. Documents that met somebody get their pivot table: the Hamming distances of their bits to PIVOTS reference fingerprints. Pairs whose
    tables differ by more than TOLERANCE in any coordinate are discarded unseen; the survivors are verified on their whole sets.
 
@@ -29,12 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
 
-from leafline.session import cut_lineage, shared_table
+from leafline.session import cut_lineage, release, shared_table
 
 SHARE, LEAST_WORDS, BLOCK = 0.6, 20, 4096
 BAND, BANDS, BITS, PIVOTS = 4, 64, 4, 1024
 HASHES = BAND * BANDS
 TOLERANCE = int(5 * (0.2 * HASHES * BITS) ** 0.5)
+# Bits of as many minima, whole longs. At the threshold a fifth of them differ; APART is 5 standard deviations more.
+SKETCH = 192
+APART = int(0.2 * SKETCH + 5 * (0.16 * SKETCH) ** 0.5)
 # Members of a bucket from which it is split.
 HOT = 1000
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
@@ -87,7 +92,7 @@ def _blocks(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("document_id", "block").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
 
 
-_BLOCK_SCHEMA = "document_id string, block int, words long, head array<long>, tail array<long>, shingles array<long>, bands array<long>, bits binary"
+_BLOCK_SCHEMA = "document_id string, block int, words long, head array<long>, tail array<long>, shingles array<long>, bands array<int>, bits binary"
 # A filter of this many bits tells which documents' sets are needed; a full one only lets more through.
 FILTER_BITS = 1 << 26
 FEW = 50_000
@@ -167,14 +172,14 @@ def _folded(seamed: DataFrame) -> DataFrame:
 
 
 def _prints(minima: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Band keys, which hold the band's number in their low bits, and the bits of the minima, packed."""
+    """A hash of 32 bits for each band, and the bits of the minima, packed."""
     keys = np.zeros((len(minima), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(BAND):
             keys = _mixed(keys * _MIX + minima[:, k::BAND].astype(np.uint64) + np.uint64(1))
-    keys = (keys << np.uint64(6)) | np.arange(BANDS, dtype=np.uint64)[None, :]
+    keys = (keys >> np.uint64(32)).astype(np.uint32)
     bits = np.concatenate([(minima >> np.uint32(k)) & np.uint32(1) for k in range(BITS)], 1).astype(np.uint8)
-    return _lists(keys.ravel().view(np.int64), np.full(len(minima), BANDS), pa.int64()), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+    return _lists(keys.ravel().view(np.int32), np.full(len(minima), BANDS), pa.int32()), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
 
 
 def _folded_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,27 +206,46 @@ def _within(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.abs(x - y).max(1) <= TOLERANCE if len(x) else np.zeros(0, bool))
 
 
+_PARTS = [f"s{i}" for i in range(SKETCH // 64)]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first SKETCH bits, each of another minimum, as longs."""
+    for batch in batches:
+        packed = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)
+        longs = np.ascontiguousarray(packed[:, : SKETCH // 8]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("bands"), *map(pa.array, longs.T)], ["rep", "bands", *_PARTS])
+
+
 def _meetings(prints: DataFrame) -> DataFrame:
-    """(a, b): representatives with an equal band. Hot buckets are split: one side by a salt, the other repeated for each."""
-    bands = prints.select("rep", F.explode("bands").alias("key"))
-    hot = cut_lineage(bands.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    """(a, b): representatives with an equal band and no more than APART differing sketch bits. Hot buckets are split: one side by a salt, the other repeated for each."""
+    sketched = prints.select("rep", "bands", "bits").mapInArrow(_sketches, "rep long, bands array<int>, " + ", ".join(f"{s} long" for s in _PARTS))
+    numbered = lambda df, *more: df.select("rep", *more, F.posexplode("bands").alias("band", "h")).select("rep", *more, (F.col("band").cast("long") * 2**32 + F.col("h")).alias("key"))
+    bands = numbered(sketched, *_PARTS)
+    counted = numbered(prints).groupBy("key")
+    hot = cut_lineage(counted.agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
     if hot.isEmpty():
         one, other, on = bands.alias("x"), bands.alias("y"), F.col("x.key") == F.col("y.key")
     else:
         marked = bands.join(hot if hot.limit(FEW + 1).count() > FEW else F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        one = marked.select("rep", "key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("salt")).alias("x")
-        other = marked.select("rep", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).alias("y")
+        one = marked.select("rep", *_PARTS, "key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("salt")).alias("x")
+        other = marked.select("rep", *_PARTS, "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).alias("y")
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt"))
-    return one.join(other, on & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _PARTS), F.lit(0))
+    return one.join(other, on & (F.col("x.rep") < F.col("y.rep")) & (differ <= APART)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that met in a bucket, and those of them that the pivot tables leave, from (rep, bands, bits)."""
     met = cut_lineage(_meetings(prints))
+    release(prints.sparkSession)
     busy = cut_lineage(met.select(F.col("a").alias("rep")).union(met.select("b")).distinct())
     table = prints.select("rep", "bits").where(_bloom(busy, "rep")).mapInArrow(_tables, "rep long, pivots binary")
     near = met.join(table.select(F.col("rep").alias("a"), F.col("pivots").alias("pa")), "a").join(table.select(F.col("rep").alias("b"), F.col("pivots").alias("pb")), "b")
-    return met, cut_lineage(near.where(_within("pa", "pb")).select("a", "b"))
+    near = cut_lineage(near.where(_within("pa", "pb")).select("a", "b"))
+    del table
+    release(prints.sparkSession)
+    return met, near
 
 
 def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -252,6 +276,7 @@ def class_pairs(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, Dat
     """
     owners = documents.select(F.col("id").alias("document_id"), "doc_id").where("document_id is not null and doc_id is not null")
     blocks = shared_table(_blocks(chunks).mapInArrow(_sketched, _BLOCK_SCHEMA), "blocks")
+    release(chunks.sparkSession)
     several = cut_lineage(blocks.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id"))
     parts = _only(blocks, several, "left_semi").where("words > 0")
     narrow = parts.select("document_id", "block", "words", "head", "tail", "shingles").mapInArrow(
@@ -273,10 +298,11 @@ def class_pairs(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, Dat
     chosen = members.where("doc_id = rep").select("document_id", "rep")
     prints = cut_lineage(
         single.select("document_id", "bands", "bits")
-        .unionAll(folded.select("document_id", "minima").mapInArrow(_folded_prints, "document_id string, bands array<long>, bits binary"))
+        .unionAll(folded.select("document_id", "minima").mapInArrow(_folded_prints, "document_id string, bands array<int>, bits binary"))
         .join(chosen, "document_id")
         .select("rep", "bands", "bits")
     )
+    release(chunks.sparkSession)
     _, near = candidates(prints)
     wanted = chosen.join(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), "rep", "left_semi")
     wanted = cut_lineage(wanted)

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,6 +159,21 @@ def test_near_duplicates_agree_with_brute_force(spark, monkeypatch, block):
     assert groups.where("links > 0").count() == 28 and groups.groupBy("group_id").count().where("count = 2").count() == 14
 
 
+def test_unlike_documents_part_in_the_bucket(spark):
+    """Documents that have a band in common by chance, whose number grows as the square of the documents, are no pairs of ids; those at the threshold are."""
+    made = np.random.default_rng(4)
+    minima = made.integers(0, 2**32, (400, neardup.HASHES), dtype=np.uint32)
+    minima[:200, : neardup.BAND] = minima[0, : neardup.BAND]  # the first band
+    same = made.random((200, neardup.HASHES)) < neardup.SHARE
+    copies = np.where(same, minima[200:], made.integers(0, 2**32, same.shape, dtype=np.uint32))
+    bands, bits = neardup._prints(np.concatenate([minima, copies]))
+    prints = spark.createDataFrame(pa.table({"rep": np.arange(600), "bands": bands, "bits": bits}))
+    want = {(i, i + 200) for i in range(200, 400)}
+    for found in neardup.candidates(prints):
+        got = {tuple(r) for r in found.collect()}
+        assert want <= got and len(got) < len(want) + 10  # of 19,900 that met
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.similar_documents(chunks(spark, [("d", "x")]).limit(0), documents(spark, [])).count() == 0
 
