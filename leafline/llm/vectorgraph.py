@@ -1,9 +1,10 @@
 """Problem 2: the most similar vectors of every vector, by a robust-pruned directed graph in each shard.
 
 Vectors of one model and dim are dealt to shards by the nearest of a set of centres, fitted on a bounded
-sample; in each shard a graph is built (greedy searches propose neighbours, relaxed distance pruning keeps
-diverse edges) and beam searches answer the queries that were sent there. In the self-join every
-vector asks the ROUTES nearest shards; in a search for the stated query set the queries ask all shards.
+sample; in each shard a graph is built (a scan of the shard proposes neighbours, relaxed distance pruning keeps
+diverse edges) and beam searches answer the queries that were sent there; what the shard's own vectors ask, the scan has answered.
+In the self-join every vector asks the ROUTES nearest shards and all whose centres are less than GAP farther (in cosine) than the nearest,
+and what one finds of the other holds for both; in a search for the stated query set the queries ask all shards.
 Shards above LARGEST are salted into sub-shards, each of which is asked. The candidates' cosines are computed from the
 vectors, so no value is wrong; but where a neighbour is missed, the next one takes its place, which is a row too many among the k.
 
@@ -24,11 +25,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafline.session import cut_lineage, shared_table
+from leafline.session import cut_lineage, release, shared_table
 
 K = 5
 DEGREE, BUILD_BEAM, BEAM, WIDE_BEAM, ALPHA = 20, 28, 18, 80, 1.1
 ROUTES, SHARD, LARGEST = 2, 3000, 20_000
+GAP = 0.05
 MOST_CENTRES, SAMPLE = 4096, 60_000
 BATCH, BACK = 1024, 8
 
@@ -99,18 +101,33 @@ def robust_prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int,
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 1) -> np.ndarray:
-    """Out-edges (n x degree): one pass of greedy search, robust pruning and pruned reverse edges over a random graph."""
+def scan(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and similarities (n x count, or n - 1 if fewer, best first) of the most similar others of each."""
+    n = len(x)
+    count = min(count, n - 1)
+    ids, sims = np.zeros((n, count), np.int32), np.zeros((n, count), np.float32)
+    for at in range(0, n, BATCH):
+        s = x[at : at + BATCH] @ x.T
+        s[np.arange(len(s)), np.arange(at, at + len(s))] = -4
+        near = np.argpartition(-s, count - 1, axis=1)[:, :count] if count else np.zeros((len(s), 0), np.int64)
+        s = np.take_along_axis(s, near, 1)
+        order = np.argsort(-s, axis=1, kind="stable")
+        ids[at : at + BATCH], sims[at : at + BATCH] = np.take_along_axis(near, order, 1), np.take_along_axis(s, order, 1)
+    return ids, sims
+
+
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 1, near: np.ndarray | None = None) -> np.ndarray:
+    """Out-edges (n x degree): robust pruning of the `beam` most similar (`near`, if they are known) and pruned reverse edges over a random graph."""
     n = len(x)
     if n <= degree + 1:
         return np.array([[(i + j) % n for j in range(1, degree + 1)] for i in range(n)], np.int32)
     made = np.random.default_rng(seed)
     graph = made.integers(0, n, (n, degree), dtype=np.int32)
+    near = scan(x, beam)[0] if near is None else near
     order = made.permutation(n)
     for at in range(0, n, BATCH):
         own = order[at : at + BATCH]
-        found, _ = beam_search(x, graph, x[own], entries(n, len(own)), beam)
-        graph[own] = robust_prune(x, own, np.concatenate([found, graph[own]], 1), degree, alpha)
+        graph[own] = robust_prune(x, own, np.concatenate([near[own], graph[own]], 1), degree, alpha)
         # Reverse edges: every target takes the nodes that chose it, BACK at a time, and is pruned again with each lot; none is left out.
         source, target = np.repeat(own, degree), graph[own].ravel()
         by = np.argsort(target, kind="stable")
@@ -207,7 +224,7 @@ _DEALT = "model string, dim int, shard int, sub long, own boolean, ask boolean,
 
 
 def _dealer(centres, routes: int | None):
-    """Deals nodes to their shard, and as questions to the `routes` nearest shards (None: to all, where `asked`)."""
+    """Deals nodes to their shard, and as questions to the `routes` nearest shards and those within GAP (None: to all, where `asked`)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,11 +237,15 @@ def _dealer(centres, routes: int | None):
                 node = here["node"].to_numpy()
                 asked = np.asarray(here["asked"])
                 sims = x @ c.T
-                many = len(c) if routes is None else min(routes, len(c))
-                near = np.argpartition(-sims, many - 1, axis=1)[:, :many] if many < len(c) else np.repeat(np.arange(len(c))[None], len(x), 0)
                 home = sims.argmax(1)
-                at, col = np.nonzero(asked[:, None] | (near == home[:, None]))
-                shard = near[at, col]
+                if routes is None or routes >= len(c):
+                    near = np.ones(sims.shape, bool)
+                else:
+                    near = sims > sims.max(1, keepdims=True) - GAP
+                    np.put_along_axis(near, np.argpartition(-sims, routes - 1, axis=1)[:, :routes], True, 1)
+                near &= asked[:, None]
+                near[np.arange(len(x)), home] = True
+                at, shard = np.nonzero(near)
                 wide = subs[shard]
                 at, shard = np.repeat(at, wide), np.repeat(shard, wide)
                 sub = np.arange(len(at)) - np.repeat(np.cumsum(wide) - wide, wide)
@@ -245,7 +266,7 @@ def _dealer(centres, routes: int | None):
     return deal
 
 
-def _asker(k: int, beam: int):
+def _asker(k: int, beam: int, at_least: float):
     def ask(table: pa.Table) -> pa.Table:
         own = np.asarray(table["own"])
         asks = np.asarray(table["ask"])
@@ -255,32 +276,37 @@ def _asker(k: int, beam: int):
         x, names = v[own], node[own]
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(x):
-            graph = build_graph(x)
             n = len(x)
+            close, alike = scan(x, max(BUILD_BEAM, k))
             position = np.cumsum(own) - 1
             wide = max(beam, k + 1)
+            graph = build_graph(x, near=close[:, :BUILD_BEAM]) if (asks & ~own).any() else None
             for mine in (True, False):
                 rows = np.flatnonzero(asks & (own == mine))
                 for b in range(0, len(rows), BATCH):
                     some = rows[b : b + BATCH]
-                    entry = position[some][:, None].astype(np.int32) if mine else entries(n, len(some))
-                    ids, _ = beam_search(x, graph, v[some], entry, wide)
-                    r, c = np.nonzero((ids >= 0) & (names[ids] != node[some][:, None]))
+                    ids, sims = (close[position[some]], alike[position[some]]) if mine else beam_search(x, graph, v[some], entries(n, len(some)), wide)
+                    r, c = np.nonzero((ids >= 0) & (sims >= at_least - 1e-3) & (names[ids] != node[some][:, None]))
                     first = np.arange(len(r)) - np.searchsorted(r, r) < k
                     r, c = r[first], c[first]
                     a, z = v[some][r].astype(np.float64), x[ids[r, c]].astype(np.float64)
                     cos = (a * z).sum(1) / np.sqrt((a * a).sum(1) * (z * z).sum(1))
-                    out.append((node[some][r], names[ids[r, c]], cos))
+                    kept = cos >= at_least
+                    out.append((node[some][r][kept], names[ids[r, c]][kept], cos[kept]))
         a, b, s = (np.concatenate(z) for z in zip(*out))
         return pa.table({"node": a, "other": b, "similarity": s})
 
     return ask
 
 
-def neighbours(embeddings: DataFrame, k: int = K, queries: Column | None = None, routes: int | None = ROUTES, beam: int = BEAM) -> DataFrame:
-    """(chunk_id, rank, neighbour_id, similarity): the k most similar others of every usable vector, or of those `queries` selects by chunk_id."""
+def neighbours(embeddings: DataFrame, k: int = K, queries: Column | None = None, routes: int | None = ROUTES, beam: int = BEAM, at_least: float = -2.0) -> DataFrame:
+    """(chunk_id, rank, neighbour_id, similarity): the k most similar others of every usable vector, or of those `queries` selects by chunk_id.
+
+    Only those whose cosine is `at_least` so much; the rank is the same as among all.
+    """
     spark = embeddings.sparkSession
     nodes, members, least = _nodes(usable_vectors(embeddings), k)
+    release(spark)
     if queries is None:
         asked = nodes.withColumn("asked", F.lit(True))
     else:
@@ -288,9 +314,13 @@ def neighbours(embeddings: DataFrame, k: int = K, queries: Column | None = None,
         asked = nodes.join(few.withColumn("hit", F.lit(True)), "node", "left").withColumn("asked", F.col("hit").isNotNull())
     centres = spark.sparkContext.broadcast(_centres(nodes))
     dealt = asked.select("node", "model", "dim", "vector", "asked").mapInArrow(_dealer(centres, routes), _DEALT)
-    met = dealt.groupBy("model", "dim", "shard", "sub").applyInArrow(_asker(k, beam), "node long, other long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("similarity"), "other"))
-    top = met.withColumn("r", rank).where(F.col("r") <= k).select("node", "other", "similarity")
+    met = dealt.groupBy("model", "dim", "shard", "sub").applyInArrow(_asker(k, beam, at_least), "node long, other long, similarity double")
+    if queries is None:
+        both = F.explode(F.array(F.struct("node", "other"), F.struct(F.col("other").alias("node"), F.col("node").alias("other"))))
+        met = met.select(both.alias("p"), "similarity").select("p.node", "p.other", "similarity")
+    # A pair that was found from both sides has one rank.
+    rank = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("similarity"), "other"))
+    top = met.withColumn("r", rank).where(F.col("r") <= k).select("node", "other", "similarity").distinct()
     top = top.union(least.select("node", F.col("node").alias("other"), F.lit(1.0)))
     # Nodes become chunk ids; k + 1 a node are enough, as a chunk drops only itself.
     wide = top.join(least.toDF("other", "ids"), "other", "left").select("node", F.explode(F.coalesce("ids", F.array("other"))).alias("id"), "similarity")
@@ -306,7 +336,7 @@ def neighbours(embeddings: DataFrame, k: int = K, queries: Column | None = None,
 
 def close_pairs(embeddings: DataFrame, least: float = 0.9, k: int = K) -> DataFrame:
     """(chunk_id_a, chunk_id_b), smaller first: one among the k most similar of the other, with a cosine of at least `least`."""
-    near = neighbours(embeddings, k).where(F.col("similarity") >= least)
+    near = neighbours(embeddings, k, at_least=least).where(F.col("similarity") >= least)
     return near.select(F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")).distinct()
 
 

@@ -80,6 +80,29 @@ def test_close_pairs_agree_with_brute_force(spark):
     assert vectorgraph.close_pairs(embeddings(spark, [])).count() == 0
 
 
+def test_close_pairs_across_many_shards(spark, monkeypatch):
+    """Close vectors that fall into different shards are found, and so are those that a graph of unlike vectors leads to badly."""
+    monkeypatch.setattr(vectorgraph, "SHARD", 60)
+    made = np.random.default_rng(8)
+    base = made.normal(size=(1200, 24))
+    x = np.concatenate([base, base[:400] + 0.3 * made.normal(size=(400, 24))]).astype(np.float32)
+    rows = [(i, "d", 24, "m", v.tolist(), T0, T0) for i, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    want = {(int(min(i, j)), int(max(i, j))) for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
+    got = {tuple(r) for r in vectorgraph.close_pairs(embeddings(spark, rows)).collect()}
+    assert len(want) > 300 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.01 * len(got)
+
+
+def test_scan_and_graph_of_few():
+    for n in (1, 2, 5, 40):
+        x = np.eye(40, dtype=np.float32)[:n]
+        ids, sims = vectorgraph.scan(x, vectorgraph.BUILD_BEAM)
+        assert ids.shape == sims.shape == (n, min(vectorgraph.BUILD_BEAM, n - 1)) and not (ids == np.arange(n)[:, None]).any()
+        assert vectorgraph.build_graph(x).shape == (n, vectorgraph.DEGREE)
+
+
 def test_copies_of_a_vector(spark):
     rows = [(i, "d", 4, "m", [1.0, 2.0, 0.0, 0.0], T0, T0) for i in range(9)] + [(20, "d", 4, "m", [0.0, 0.0, 1.0, 0.0], T0, T0)]
     near = vectorgraph.neighbours(embeddings(spark, rows)).where("chunk_id = 7").orderBy("rank").collect()
